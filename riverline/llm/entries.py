@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from riverline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from riverline.llm.simhash import op5_simhash
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op5_simhash": op5_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
