@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from riverline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from riverline.llm.quality import op3_quality
 from riverline.llm.simhash import op5_simhash
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op3_quality": op3_quality, "op5_simhash": op5_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
