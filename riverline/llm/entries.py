@@ -5,10 +5,11 @@ from __future__ import annotations
 from riverline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from riverline.llm.quality import op3_quality
 from riverline.llm.simhash import op5_simhash
+from riverline.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op3_quality": op3_quality, "op5_simhash": op5_simhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
