@@ -111,3 +111,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x * _mixed
     x = x ^ (x >> np.uint64(29))
     return x * np.uint64(0xC4CEB9FE1A85EC53) ^ (x >> np.uint64(32))
+
+
+class IdFilter:
+    """A Bloom filter of longs with a fixed number of bits, whatever the data: more ids only let more others through.
+
+    Built by native aggregation (at most bits/64 rows reach the driver) and broadcast.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, bits: int = 1 << 26):
+        places = self.hashes(F.col(column), bits)
+        words = rows.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        found = words.toArrow()
+        table = np.zeros(bits // 64, np.int64)
+        table[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.table = rows.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def hashes(column, bits: int) -> list:
+        h, g = F.xxhash64(column, F.lit(1)), F.xxhash64(column, F.lit(2))
+        return [x.bitwiseAND(F.lit(bits - 1)) for x in (h, F.shiftright(h, 32), g, F.shiftright(g, 32))]
+
+    def apply(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows of `rows` whose id may be among those gathered."""
+        table, names, bits = self.table, rows.columns, 64 * len(self.table.value)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for k in range(4):
+                    p = batch.column(f"__p{k}").to_numpy()
+                    keep &= (table.value[p >> 6] >> (p & 63)) & 1 == 1
+                yield batch.select(names).filter(pa.array(keep))
+
+        asked = rows.select(*rows.columns, *(h.alias(f"__p{k}") for k, h in enumerate(self.hashes(F.col(column), bits))))
+        return asked.mapInArrow(work, rows.schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import durable, ids_and_bytes, mix64, restore_id, shuffle_width
+from riverline.llm.common import IdFilter, durable, ids_and_bytes, mix64, restore_id, shuffle_width
 
 WIDTH = 32
 BLOCKS = "run long, shard int, entries int, digests binary, best binary, sizes binary, ids binary, filter binary"
@@ -188,9 +188,10 @@ def exact_dedup(
     blocks = durable(body.mapInArrow(flusher(shards, memtable_bytes, keep == "largest", digest), BLOCKS), "runs")
     hits = durable(blocks.select("run", "shard", "entries", "digests", "best", "sizes", "ids", "filter").groupBy("shard").applyInArrow(compact, HITS), "hits")
 
-    texts = body.select(F.col("doc_id").alias("sample"), "body")
+    # only texts of hits are moved: a filter of fixed size picks them where they are read
+    texts = IdFilter(hits, "sample").apply(body.withColumnRenamed("doc_id", "sample"), "sample")
     wanted = hits.select("run", "shard", "place", "digest", "sample", "best", "size")
-    seen = wanted.join(texts, "sample")
+    seen = wanted.hint("merge").join(texts, "sample")
     if digest is not sha256:  # ids alone name texts only while ids are unique
         check = F.udf(lambda b: digest(bytes(b)), "binary")
         seen = seen.where(check("body") == F.col("digest"))
