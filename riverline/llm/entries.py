@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riverline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from riverline.llm.lattice_lm import op6_lattice_lm
 from riverline.llm.quality import op3_quality
 from riverline.llm.rules import op9_rules
 from riverline.llm.simhash import op5_simhash
@@ -10,7 +11,7 @@ from riverline.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op9_rules": op9_rules, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op6_lattice_lm": op6_lattice_lm, "op9_rules": op9_rules, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
