@@ -151,6 +151,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000)
     return restore_id(score(docs, model).select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 4000) -> DataFrame:
+    """The rows of docs, columns as they are, that score `threshold` or more; all of them where nothing can be learned."""
+    model = train(docs, labels, "quality", lambda i: id_remainder(i, 4) != 2, sample_rows)
+    if not model.rows:
+        return docs
+    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, SLICE, "__body"):
+            good = shared.value.scores(*raw_slices(batch.column("__body"))) >= threshold
+            yield batch.select(columns).filter(pa.array(good))
+
+    return docs.withColumn("__body", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(work, docs.schema)
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(documents(spark, sf_dir), labels).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import documents, ids_and_bytes, mix64, raw_slices, restore_id, shuffle_width, total_bytes
+from riverline.llm.common import NULL_ID, documents, mix64, raw_slices, restore_id, shuffle_width, total_bytes
 from riverline.llm.textscan import per_text
 
 LENGTH = 50
@@ -90,11 +90,16 @@ def full(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def by_id(table: pa.Table) -> pa.Table:
+    """A group's documents by id, then text."""
+    return table.sort_by([("__id", "ascending"), ("__body", "ascending")]).combine_chunks()
+
+
 def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes, offsets) of a group's documents by id, then text."""
-    table = table.select(["doc_id", "body"]).sort_by([("doc_id", "ascending"), ("body", "ascending")]).combine_chunks()
-    data, offsets = raw_slices(table.column("body"))
-    return table.column("doc_id").to_numpy(), np.ascontiguousarray(data), offsets
+    """(ids, bytes, offsets) of a group's documents in the order of by_id."""
+    table = by_id(table.select(["__id", "__body"]))
+    data, offsets = raw_slices(table.column("__body"))
+    return table.column("__id").to_numpy(), np.ascontiguousarray(data), offsets
 
 
 def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -122,7 +127,7 @@ def ddl(schema: pa.Schema) -> str:
 
 def send_keys(shards: int):
     def work(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
+        g = table.column("__g")[0].as_py()
         ids, data, offsets = texts_of(table)
         key, _, _, text = runs(data, offsets)
         order = np.argsort(key, kind="stable")
@@ -184,7 +189,7 @@ def send_contexts(buckets: int):
     def work(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return CONTEXTS.empty_table()
-        g = docs.column("g")[0].as_py()
+        g = docs.column("__g")[0].as_py()
         ids, data, offsets = texts_of(docs)
         plain, hot = (np.sort(np.concatenate([full(b) for b in shared.column(c).to_pylist()])) for c in ("keys", "hot"))
         contents, key, is_hot, text, *_ = contexts(data, offsets, plain, hot)
@@ -330,39 +335,62 @@ def covered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, firsts: pa.T
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def finish(with_text: bool):
-    def work(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        schema = RESULT.append(pa.field("kept", pa.binary())) if with_text else RESULT
-        if not docs.num_rows:
-            return schema.empty_table()
-        ids, data, offsets = texts_of(docs)
-        gone = covered(ids, data, offsets, firsts)
-        fresh = gone.copy()
-        fresh[1:] &= ~gone[:-1]
-        inner = offsets[:-1][offsets[:-1] < len(data)]
-        fresh[inner] = gone[inner]
-        stay = data[~gone].tobytes()
-        edges = np.concatenate([[0], np.cumsum(per_text((~gone).astype(np.int64), offsets))]).tolist()
-        kept = [stay[s:e] for s, e in zip(edges, edges[1:])]
-        columns = [ids, np.diff(offsets), per_text(gone.astype(np.int64), offsets), per_text(fresh.astype(np.int64), offsets), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        return pa.table([pa.array(c) for c in columns] + ([pa.array(kept, pa.binary())] if with_text else []), schema=schema)
+def left_over(docs: pa.Table, firsts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(ids, offsets, which bytes go, what remains of each text), by id."""
+    ids, data, offsets = texts_of(docs)
+    gone = covered(ids, data, offsets, firsts)
+    stay = data[~gone].tobytes()
+    edges = np.concatenate([[0], np.cumsum(per_text((~gone).astype(np.int64), offsets))]).tolist()
+    return ids, offsets, gone, [stay[s:e] for s, e in zip(edges, edges[1:])]
 
-    return work
+
+def report(docs: pa.Table, firsts: pa.Table) -> pa.Table:
+    if not docs.num_rows:
+        return RESULT.empty_table()
+    ids, offsets, gone, kept = left_over(docs, firsts)
+    fresh = gone.copy()
+    fresh[1:] &= ~gone[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(gone)]
+    fresh[inner] = gone[inner]
+    columns = [ids, np.diff(offsets), per_text(gone.astype(np.int64), offsets), per_text(fresh.astype(np.int64), offsets), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+    return pa.table([pa.array(c) for c in columns], schema=RESULT)
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (bytes that remain)."""
+def grouped_firsts(docs: DataFrame, id_col: str, text_col: str, *carried: str):
+    """(documents by group, with columns __g, __id, __body and those carried; first documents by group)."""
     width = shuffle_width(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups = max(width, size // GROUP_BYTES + 1)
     shards = max(width, size // (17 * SHARD_KEYS) + 1)
-    body = ids_and_bytes(docs, id_col, text_col).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    keys = body.groupBy("g").applyInArrow(send_keys(shards), ddl(KEYS))
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    body = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"), *(F.col(f"`{c}`") for c in carried))
+    body = body.withColumn("__g", F.pmod(F.xxhash64("__id"), F.lit(groups)))
+    keys = body.groupBy("__g").applyInArrow(send_keys(shards), ddl(KEYS))
     shared = keys.groupBy("shard").applyInArrow(shared_keys, ddl(SHARED))
-    sent = body.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(groups), ddl(CONTEXTS))
+    sent = body.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(groups), ddl(CONTEXTS))
     firsts = sent.groupBy("bucket").applyInArrow(first_documents, ddl(FIRSTS))
-    result = RESULT.append(pa.field("kept", pa.binary())) if with_text else RESULT
-    return restore_id(body.groupBy("g").cogroup(firsts.groupBy("g")).applyInArrow(finish(with_text), ddl(result)))
+    return body.groupBy("__g"), firsts.groupBy("g")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    body, firsts = grouped_firsts(docs, id_col, text_col)
+    return restore_id(body.cogroup(firsts).applyInArrow(report, ddl(RESULT)))
+
+
+def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, columns as they are, with the bytes gone from the text; a character that loses a byte goes whole."""
+    columns = docs.columns
+    others = [c for c in columns if c != text_col]
+
+    def work(rows: pa.Table, firsts: pa.Table) -> pa.Table:
+        kept = left_over(rows, firsts)[3] if rows.num_rows else []
+        table = by_id(rows)
+        text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        return pa.table([text if c == text_col else table.column(c) for c in columns], names=columns)
+
+    body, firsts = grouped_firsts(docs, id_col, text_col, *others)
+    return body.cogroup(firsts).applyInArrow(work, docs.schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
