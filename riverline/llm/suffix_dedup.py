@@ -4,7 +4,8 @@
    anchors wherever they are. Neighbouring windows with one anchor form a run. Only anchor hashes of a group of documents
    (five bytes each, once a group) go to shards, which answer with those that two documents share.
 2. Contexts. The bytes of runs with shared anchors, each distinct content once a group with its least id, go to buckets
-   by anchor. An anchor of very many groups is split up: its windows go one by one, by their own content.
+   by anchor. An anchor with more than `WIDE` contexts in some group (the border of a passage that many documents hold)
+   is split up: its windows go one by one, by their own content.
 3. Refinement. A bucket builds suffix buckets by bucket-pointer refinement: initial q-gram buckets are refined by sorting
    on the bucket numbers of later offsets (5, 10, 20, 40, then 50 bytes), each pass reusing the numbers of the last, and
    the least id of each final bucket is the first document of its windows. These are comparisons of bytes: hashes only
@@ -31,11 +32,11 @@ from riverline.llm.common import NULL_ID, documents, mix64, raw_slices, restore_
 from riverline.llm.textscan import per_text
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
 CHUNK = 1 << 17
 KEY_BITS = 40
-HOT = 48
-GROUP_BYTES = 8 << 20
+WIDE = 32
+GROUP_BYTES = 4 << 20
 SHARD_KEYS = 1 << 21
 NARROW = 1 << 20
 
@@ -46,8 +47,10 @@ def wide(data: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes the least hash of its q-grams."""
-    words = wide(data)
-    h = mix64(words[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (words[8:] + np.uint64(0x7F4A7C15)) * np.uint64(0xD6E8FEB86659FD93))
+    words = np.ascontiguousarray(wide(data))
+    n = len(words) - GRAM + 8
+    h = sum((words[k : k + n] ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD92 * k & 2**64 - 1) for k in range(0, GRAM, 8))
+    h = mix64(h)
     grams, have = LENGTH - GRAM + 1, 1
     while 2 * have <= grams:
         h = np.minimum(h[:-have], h[have:])
@@ -80,14 +83,25 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[inside], start[inside], size[inside], text[inside]
 
 
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else b""
+
+
 def short(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+    """Keys as differences in byte planes, compressed: sorted keys take about half of their bits."""
+    steps = np.diff(keys, prepend=np.uint64(0)) & np.uint64((1 << KEY_BITS) - 1)
+    return packed(np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes())
 
 
 def full(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // (KEY_BITS // 8), 8), np.uint8)
-    out[:, : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
-    return out.view("<u8").reshape(-1)
+    planes = np.frombuffer(unpacked(data), np.uint8).reshape(KEY_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : KEY_BITS // 8] = planes.T
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64) & np.uint64((1 << KEY_BITS) - 1)
 
 
 def by_id(table: pa.Table) -> pa.Table:
@@ -115,7 +129,7 @@ def split(keys: np.ndarray, parts: int):
             yield int(part[s]), slice(s, e)
 
 
-KEYS = pa.schema([("shard", pa.int32()), ("g", pa.int64()), ("once", pa.binary()), ("many", pa.binary())])
+KEYS = pa.schema([("shard", pa.int32()), ("g", pa.int64()), ("once", pa.binary()), ("many", pa.binary()), ("wide", pa.binary())])
 SHARED = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary())])
 FIRSTS = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_()), ("at", pa.binary()), ("sizes", pa.binary()), ("firsts", pa.binary())])
@@ -129,27 +143,34 @@ def send_keys(shards: int):
     def work(table: pa.Table) -> pa.Table:
         g = table.column("__g")[0].as_py()
         ids, data, offsets = texts_of(table)
-        key, _, _, text = runs(data, offsets)
+        key, start, size, text = runs(data, offsets)
         order = np.argsort(key, kind="stable")
-        key, owner = key[order], ids[text[order]]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(key) else np.zeros(0, bool)
-        key = key[first]
-        return table_of(KEYS, [(shard, g, short(key[s][~many[s]]), short(key[s][many[s]])) for shard, s in split(key, shards)])
+        key, owner, start, size = key[order], ids[text[order]], start[order], size[order]
+        if not len(key):
+            return KEYS.empty_table()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        words = wide(data)
+        look = mix64(words[start] ^ mix64(words[start + size + LENGTH - 9] + size.astype(np.uint64)))  # tells contexts of a key apart
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        by = np.lexsort((look, own))
+        kinds = np.bincount(own[by][np.append(True, (own[by][1:] != own[by][:-1]) | (look[by][1:] != look[by][:-1]))], minlength=len(first))
+        key, broad = key[first], kinds > WIDE
+        return table_of(KEYS, [(shard, g, *(short(key[s][m[s]]) for m in (~many & ~broad, many & ~broad, broad))) for shard, s in split(key, shards)])
 
     return work
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
-    rows = table.select(["g", "once", "many"]).to_pylist()
-    own = [(full(r["once"]), full(r["many"])) for r in rows]
-    every = np.sort(np.concatenate([k for pair in own for k in pair]))
+    rows = table.select(["g", "once", "many", "wide"]).to_pylist()
+    own = [tuple(full(r[c]) for c in ("once", "many", "wide")) for r in rows]
+    every = np.sort(np.concatenate([k for parts in own for k in parts]))
     new = np.append(True, every[1:] != every[:-1])
     distinct, count = every[new], np.diff(np.append(np.flatnonzero(new), len(every)))
-    again, hot = distinct[count > 1], distinct[count > HOT]
+    again, hot = distinct[count > 1], np.unique(np.concatenate([w for _, _, w in own]))
     out = []
-    for r, (once, many) in zip(rows, own):
-        mine = np.sort(np.concatenate([once[member(once, again)], many]))
+    for r, (once, many, broad) in zip(rows, own):
+        mine = np.sort(np.concatenate([once[member(once, again)], many, broad]))
         if len(mine):
             is_hot = member(mine, hot)
             out.append((r["g"], short(mine[~is_hot]), short(mine[is_hot])))
@@ -203,7 +224,7 @@ def send_contexts(buckets: int):
             if len(part):
                 content = [contents[k] for k in part.tolist()]
                 sizes = np.array([len(c) for c in content], "<u4")
-                out.append((int(bucket[part[0]]), g, short(key[part]), bool(is_hot[part[0]]), part.astype("<u4").tobytes(), ids[text[part]].astype("<i8").tobytes(), sizes.tobytes(), b"".join(content)))
+                out.append((int(bucket[part[0]]), g, short(key[part]), bool(is_hot[part[0]]), part.astype("<u4").tobytes(), ids[text[part]].astype("<i8").tobytes(), sizes.tobytes(), packed(b"".join(content))))
         return table_of(CONTEXTS, out)
 
     return work
@@ -244,7 +265,7 @@ def first_documents(table: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     which, key_of, least = [], [], []
     for r in rows:
-        content, ends = r["content"], np.cumsum(np.frombuffer(r["sizes"], "<u4")).tolist()
+        content, ends = unpacked(r["content"]), np.cumsum(np.frombuffer(r["sizes"], "<u4")).tolist()
         own = []
         for s, e, k, i in zip([0, *ends], ends, full(r["keys"]).tolist(), np.frombuffer(r["ids"], "<i8").tolist()):
             c = content[s:e]
@@ -303,7 +324,7 @@ def first_documents(table: pa.Table) -> pa.Table:
                 docs.append(firsts[k][1])
             counts.append(len(docs[-1]))
         at = np.stack([np.frombuffer(r["at"], "<u4"), np.array(counts, "<u4")]).astype("<u4")
-        out.append((r["g"], r["keys"], r["hot"], at.tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(docs).astype("<i8").tobytes()))
+        out.append((r["g"], r["keys"], r["hot"], packed(at.tobytes()), packed(np.concatenate(sizes).astype("<u4").tobytes()), packed(np.concatenate(docs).astype("<i8").tobytes())))
     return table_of(FIRSTS, out)
 
 
@@ -314,9 +335,9 @@ def covered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, firsts: pa.T
     if rows:
         plain, hot = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(full(r["keys"]) for r in rows if r["hot"] == h)])) for h in (False, True))
         *_, which, start, _, text = contexts(data, offsets, plain, hot)
-        at, counts = (np.concatenate([np.frombuffer(r["at"], "<u4").reshape(2, -1)[k] for r in rows]).astype(np.int64) for k in (0, 1))
-        sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows]).astype(np.int64)
-        docs = np.concatenate([np.frombuffer(r["firsts"], "<i8") for r in rows])
+        at, counts = (np.concatenate([np.frombuffer(unpacked(r["at"]), "<u4").reshape(2, -1)[k] for r in rows]).astype(np.int64) for k in (0, 1))
+        sizes = np.concatenate([np.frombuffer(unpacked(r["sizes"]), "<u4") for r in rows]).astype(np.int64)
+        docs = np.concatenate([np.frombuffer(unpacked(r["firsts"]), "<i8") for r in rows])
         begin = np.cumsum(counts) - counts
         skip = np.cumsum(sizes) - sizes
         skip -= np.repeat(skip[begin], counts)  # windows of the context before this part
@@ -361,7 +382,7 @@ def grouped_firsts(docs: DataFrame, id_col: str, text_col: str, *carried: str):
     width = shuffle_width(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups = max(width, size // GROUP_BYTES + 1)
-    shards = max(width, size // (17 * SHARD_KEYS) + 1)
+    shards = max(width, size // (10 * SHARD_KEYS) + 1)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     body = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"), *(F.col(f"`{c}`") for c in carried))
     body = body.withColumn("__g", F.pmod(F.xxhash64("__id"), F.lit(groups)))
