@@ -33,6 +33,13 @@ def ids_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, longer if docs has such a column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def restore_id(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols or ("doc_id",):
         df = df.withColumn(c, F.when(F.col(c) != F.lit(NULL_ID), F.col(c)))

@@ -198,7 +198,7 @@ def exact_dedup(
     else:
         seen = seen.where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
     seen = seen.groupBy("digest", "body", "run", "shard", "place").agg(F.first("best").alias("best"), F.first("size").alias("size"))
-    rank = F.struct(F.col("best") if keep == "largest" else -F.col("best"), -F.col("run"), -F.col("place"))
+    rank = F.struct(F.col("best") if keep == "largest" else F.bitwise_not("best"), -F.col("run"), -F.col("place"))
     classes = seen.groupBy("digest", "body").agg(
         F.sum("size").alias("group_size"), F.max(F.struct(rank.alias("rank"), "best", "run", "place")).alias("top"),
         F.collect_list(F.struct("run", "shard", "place")).alias("entries"),  # one per run, not per document

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import NULL_ID, documents, id_remainder, ids_and_bytes, raw_slices, restore_id, sliced
+from riverline.llm.common import NULL_ID, documents, fresh, id_remainder, ids_and_bytes, raw_slices, restore_id, sliced
 from riverline.llm.textscan import Words
 
 SLICE = 1 << 19
@@ -156,14 +156,14 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
     model = train(docs, labels, "quality", lambda i: id_remainder(i, 4) != 2, sample_rows)
     if not model.rows:
         return docs
-    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, columns, body = docs.sparkSession.sparkContext.broadcast(model), docs.columns, fresh(docs, "__body")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, SLICE, "__body"):
-            good = shared.value.scores(*raw_slices(batch.column("__body"))) >= threshold
+        for batch in sliced(batches, SLICE, body):
+            good = shared.value.scores(*raw_slices(batch.column(body))) >= threshold
             yield batch.select(columns).filter(pa.array(good))
 
-    return docs.withColumn("__body", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(work, docs.schema)
+    return docs.withColumn(body, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(work, docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
