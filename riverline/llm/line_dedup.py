@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import NULL_ID, documents
+from riverline.llm.common import NULL_ID, documents, durable
 
 LEAD = 3
 HALVES_FROM = 8
@@ -57,14 +57,17 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     seen = docs.select(ident.alias("__id"), F.explode(F.array_distinct(F.flatten(F.transform(lines, templates)))).alias("__key"))
+    seen = durable(seen, "templates")  # parsed once, read twice
     counted = seen.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__id").alias("__first")).where(F.col("__n") >= min_docs)
     gone = seen.hint("merge").join(counted.select("__key", "__first"), "__key").where("__id > __first")
     per_doc = gone.groupBy("__id").agg(F.collect_set("__key").alias("__keys"))  # at most the templates of one document
-    joined = docs.withColumn("__id", ident).hint("merge").join(per_doc, "__id", "left")
-    stays = F.filter(lines, lambda x: ~F.arrays_overlap(templates(x), F.col("__keys")))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(stays)
-    out = joined.withColumn("__kept", kept).withColumn("__lines", F.size(lines)).withColumn("__dropped", F.col("__lines") - F.size("__kept"))
-    return out.withColumn(text_col, F.array_join("__kept", "\n")).select(*(F.col(f"`{c}`") for c in docs.columns), "__lines", "__dropped")
+    others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))  # no name of docs can clash
+    rows = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__body"), others.alias("__row"))
+    joined = rows.hint("merge").join(per_doc, "__id", "left").withColumn("__text", F.split("__body", "\n"))
+    stays = F.filter("__text", lambda x: ~F.arrays_overlap(templates(x), F.col("__keys")))
+    kept = joined.withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__text")).otherwise(stays))
+    columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
+    return kept.select(*columns, F.size("__text").alias("__lines"), (F.size("__text") - F.size("__kept")).alias("__dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
