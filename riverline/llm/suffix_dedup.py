@@ -37,6 +37,7 @@ CHUNK = 1 << 17
 KEY_BITS = 40
 WIDE = 32
 GROUP_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 SHARD_KEYS = 1 << 21
 NARROW = 1 << 20
 
@@ -224,7 +225,7 @@ def send_contexts(buckets: int):
             if len(part):
                 content = [contents[k] for k in part.tolist()]
                 sizes = np.array([len(c) for c in content], "<u4")
-                out.append((int(bucket[part[0]]), g, short(key[part]), bool(is_hot[part[0]]), part.astype("<u4").tobytes(), ids[text[part]].astype("<i8").tobytes(), sizes.tobytes(), packed(b"".join(content))))
+                out.append((int(bucket[part[0]]), g, short(key[part]), bool(is_hot[part[0]]), packed(part.astype("<u4").tobytes()), packed(np.diff(ids[text[part]], prepend=0).astype("<i8").tobytes()), packed(sizes.tobytes()), packed(b"".join(content))))
         return table_of(CONTEXTS, out)
 
     return work
@@ -265,9 +266,9 @@ def first_documents(table: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     which, key_of, least = [], [], []
     for r in rows:
-        content, ends = unpacked(r["content"]), np.cumsum(np.frombuffer(r["sizes"], "<u4")).tolist()
+        content, ends = unpacked(r["content"]), np.cumsum(np.frombuffer(unpacked(r["sizes"]), "<u4")).tolist()
         own = []
-        for s, e, k, i in zip([0, *ends], ends, full(r["keys"]).tolist(), np.frombuffer(r["ids"], "<i8").tolist()):
+        for s, e, k, i in zip([0, *ends], ends, full(r["keys"]).tolist(), np.cumsum(np.frombuffer(unpacked(r["ids"]), "<i8")).tolist()):
             c = content[s:e]
             at = number.setdefault(c, len(number))
             if at == len(least):
@@ -323,7 +324,7 @@ def first_documents(table: pa.Table) -> pa.Table:
                 sizes.append(firsts[k][0])
                 docs.append(firsts[k][1])
             counts.append(len(docs[-1]))
-        at = np.stack([np.frombuffer(r["at"], "<u4"), np.array(counts, "<u4")]).astype("<u4")
+        at = np.stack([np.frombuffer(unpacked(r["at"]), "<u4"), np.array(counts, "<u4")]).astype("<u4")
         out.append((r["g"], r["keys"], r["hot"], packed(at.tobytes()), packed(np.concatenate(sizes).astype("<u4").tobytes()), packed(np.concatenate(docs).astype("<i8").tobytes())))
     return table_of(FIRSTS, out)
 
@@ -378,17 +379,18 @@ def report(docs: pa.Table, firsts: pa.Table) -> pa.Table:
 
 
 def grouped_firsts(docs: DataFrame, id_col: str, text_col: str, *carried: str):
-    """(documents by group, with columns __g, __id, __body and those carried; first documents by group)."""
+    """(documents by group, with columns __g, __id, __body and, in __row, those carried; first documents by group)."""
     width = shuffle_width(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups = max(width, size // GROUP_BYTES + 1)
     shards = max(width, size // (10 * SHARD_KEYS) + 1)
+    buckets = max(width, size // BUCKET_BYTES + 1)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    body = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"), *(F.col(f"`{c}`") for c in carried))
+    body = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"), *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("__row")] if carried else []))
     body = body.withColumn("__g", F.pmod(F.xxhash64("__id"), F.lit(groups)))
     keys = body.groupBy("__g").applyInArrow(send_keys(shards), ddl(KEYS))
     shared = keys.groupBy("shard").applyInArrow(shared_keys, ddl(SHARED))
-    sent = body.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(groups), ddl(CONTEXTS))
+    sent = body.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(buckets), ddl(CONTEXTS))
     firsts = sent.groupBy("bucket").applyInArrow(first_documents, ddl(FIRSTS))
     return body.groupBy("__g"), firsts.groupBy("g")
 
@@ -406,9 +408,10 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def work(rows: pa.Table, firsts: pa.Table) -> pa.Table:
         kept = left_over(rows, firsts)[3] if rows.num_rows else []
-        table = by_id(rows)
+        table = by_id(rows) if rows.num_rows else rows
         text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-        return pa.table([text if c == text_col else table.column(c) for c in columns], names=columns)
+        kept_row = table.column("__row").combine_chunks() if others else None
+        return pa.table([text if c == text_col else kept_row.field(others.index(c)) for c in columns], names=columns)
 
     body, firsts = grouped_firsts(docs, id_col, text_col, *others)
     return body.cogroup(firsts).applyInArrow(work, docs.schema)
