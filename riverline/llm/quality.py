@@ -45,11 +45,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[np.ndarra
     for bucket, at in ((bucket_of(pairs), first), (None, np.flatnonzero(same)), (None, np.flatnonzero(recent))):
         edges = np.searchsorted(at, words.first)
         parts.append((np.full(len(at), len(parts)) if bucket is None else bucket, edges[:-1], edges[1:]))
-    lo, hi = offsets[:-1], offsets[1:]
     wide = data.astype(np.uint32)
     three = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
     four = three[:-1] | wide[3:] << np.uint32(24)
-    grams = [((g * np.uint32(m)) >> np.uint32(16), lo, np.maximum(lo, hi + 1 - n)) for n, g, m in ((3, three, 0x9E3779B1), (4, four, 0x85EBCA6B))]
+    grams = []
+    for n, g, m in ((3, three, 0x9E3779B1), (4, four, 0x85EBCA6B)):
+        lo = np.minimum(offsets[:-1], len(g))  # a short last text begins beyond the last gram
+        grams.append(((g * np.uint32(m)) >> np.uint32(16), lo, np.maximum(lo, offsets[1:] + 1 - n)))
     return [parts, grams]
 
 

@@ -252,6 +252,22 @@ def test_quality_and_toxicity_score_every_row(docs, rows, labels):
     assert quality.accepted(docs, labels.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("last", ["", "a", "ab", "abc"])
+def test_quality_scores_a_short_last_text(last):
+    model = quality.Model(np.arange(quality.BUCKETS) / quality.BUCKETS - 0.5, 0.1, 1)
+    bodies = [b"abc def", b"the river", last.encode()]
+    one = lambda b: model.scores(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
+    got = model.scores(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
+    assert np.allclose(got, [one(b) for b in bodies])
+
+
+def test_quality_keeps_rows_beside_a_null_last_text(spark):
+    docs = spark.createDataFrame([(1, "abc def"), (2, "the river"), (3, None)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality.quality_scores(docs, labels).collect()) == [1, 2, 3]
+    assert quality.accepted(docs, labels, threshold=0.0).count() == 3
+
+
 def test_segments_equal_definition():
     rng = np.random.default_rng(9)
     for _ in range(200):
