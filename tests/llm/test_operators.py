@@ -144,6 +144,28 @@ def test_near_copies(docs, rows):
     assert texts.count("one") == 1 and texts.count("two words") == 1
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_of_an_original_with_the_largest_id(spark):
+    rng = random.Random(11)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    copies = []
+    for k in range(6):
+        words = list(original)
+        for at in (5 + 16 * k, 10 + 16 * k):
+            words[at] = f"other{k}x{at}"
+        copies.append(" ".join(words))
+    texts = [*copies, " ".join(original)]
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    assert all(near(sets[6], s) for s in sets[:6]) and not any(near(a, b) for k, a in enumerate(sets[:6]) for b in sets[:k])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_copies.near_copy_groups(docs).collect()} == {0}
+
+
 def test_lattice_lm(docs, rows):
     tokens = [(r[0], (r[1] or "").encode().lower().split() + [b""]) for r in rows]
     text = lambda i: "" if i is None else str(i)
