@@ -166,6 +166,21 @@ def test_near_copies_of_an_original_with_the_largest_id(spark):
     assert {r.component_id for r in near_copies.near_copy_groups(docs).collect()} == {0}
 
 
+def test_near_copies_decide_long_texts_on_all_shingles(spark):
+    rng, texts, want = random.Random(12), [], []
+    for k, gaps in enumerate([22] * 15 + [23] * 15):  # 1,000 shingles, of which each gap changes 5: 0.802 or 0.794
+        base = [f"w{rng.randrange(10**7)}" for _ in range(1004)]
+        copy = list(base)
+        for at in rng.sample(range(10, 990, 12), gaps):
+            copy[at] = f"x{rng.randrange(10**7)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        want.append(len(a & b) / len(a | b) >= 0.8)
+        texts += [" ".join(base), " ".join(copy)]
+    assert want == [True] * 15 + [False] * 15
+    found = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[2 * k + 1] == 2 * k for k in range(30)] == want
+
+
 def test_lattice_lm(docs, rows):
     tokens = [(r[0], (r[1] or "").encode().lower().split() + [b""]) for r in rows]
     text = lambda i: "" if i is None else str(i)
