@@ -74,30 +74,30 @@ def cheapest_levels(cost: np.ndarray, step_cost: float, most_step: int) -> tuple
 
 
 def cascade(sites: list[float], lifts: list[float], terminal: float, spacing: float, cap: float, base: float, reach_cost, structure_cost) -> tuple[float, list[tuple[float, float]]] | None:
-    """Cheapest chain of (site, level) that ends at the last site chosen: exact over sites x levels reachable by sums of lifts."""
-    sites = sorted(s for s in sites if 0 < s <= terminal)
-    states: dict[tuple[float, float], tuple[float, tuple | None]] = {(0.0, base): (0.0, None)}
-    for site in sites:
-        fresh: dict[tuple[float, float], tuple[float, tuple | None]] = {}
-        for (at, level), (cost, _) in states.items():
-            if site - at < spacing and at > 0:
-                continue
-            for lift in lifts:
-                up = round(level + lift, 3)
-                if up > cap:
-                    continue
-                total = cost + reach_cost(at, site, level) + structure_cost(lift)
-                if total < fresh.get((site, up), (math.inf,))[0]:
-                    fresh[site, up] = (total, (at, level))
-        states |= fresh
-    ends = [(cost + reach_cost(at, terminal, level), at, level) for (at, level), (cost, _) in states.items() if at > 0]
-    if not ends:
+    """Cheapest chain of (site, level) that ends at the last site chosen: exact over sites x levels reachable by sums of lifts.
+
+    reach_cost(from, to, level) takes arrays of places and levels.
+    """
+    at, levels, costs, back = np.array([0.0]), np.array([float(base)]), np.array([0.0]), np.array([-1])
+    for site in sorted({s for s in sites if 0 < s <= terminal}):
+        ok = np.flatnonzero((at <= 0) | (site - at >= spacing))
+        reached = costs[ok] + reach_cost(at[ok], site, levels[ok])
+        total = np.stack([reached + structure_cost(lift) for lift in lifts], axis=1).ravel()
+        up = np.round(levels[ok, None] + np.array(lifts, float), 3).ravel()
+        source = np.repeat(ok, len(lifts))
+        fine = np.flatnonzero((up <= cap) & (total < math.inf))
+        order = fine[np.lexsort((total[fine], up[fine]))]  # stable: of equals the earlier state
+        best = order[np.unique(up[order], return_index=True)[1]]
+        at, levels = np.append(at, np.full(len(best), float(site))), np.append(levels, up[best])
+        costs, back = np.append(costs, total[best]), np.append(back, source[best])
+    if len(at) == 1:
         return None
-    cost, at, level = min(ends)
-    chain, state = [], (at, level)
-    while state and state[0] > 0:
-        chain.append(state)
-        state = states[state][1]
+    whole = costs + reach_cost(at, terminal, levels)
+    k = int(np.lexsort((levels[1:], at[1:], whole[1:]))[0]) + 1
+    cost, chain = float(whole[k]), []
+    while k > 0:
+        chain.append((float(at[k]), float(levels[k])))
+        k = int(back[k])
     return cost, chain[::-1]
 
 

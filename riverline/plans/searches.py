@@ -52,19 +52,18 @@ def level_path(spark, d):
 
 
 def cascades(spark, d):
+    """Every vertex is a site, and a line's own end its terminal."""
+
     def solve(p):
-        p = p[p.idx % 8 == 4]
-        run = np.cumsum(p.filled.to_numpy())
+        places, run = p.chainage.to_numpy(float), np.append(0.0, np.cumsum(p.filled.to_numpy(float)))
 
         def reach(a, b, level):
-            k0, k1 = np.searchsorted(p.chainage.to_numpy(), [a, b])
-            return float((run[k1 - 1] if k1 else 0) - (run[k0 - 1] if k0 else 0)) + level * (b - a) / 1000
+            return run[np.searchsorted(places, b)] - run[np.searchsorted(places, a)] + level * (b - a) / 1000
 
-        found = s.cascade(p.chainage.tolist(), [2.5, 4.0], 1600.0, 150.0, 12.0, 0.0, reach, lambda lift: 40.0 * lift)
-        chain = found[1] if found else []
-        return pd.DataFrame({"line_id": [int(p.line_id.iloc[0])] * len(chain), "chainage": [c[0] for c in chain], "level": [c[1] for c in chain], "total": [round(found[0], 6)] * len(chain)} if found and len(p) else {"line_id": [], "chainage": [], "level": [], "total": []})
+        total, chain = s.cascade(places.tolist(), [2.5, 4.0], float(places[-1]), 150.0, 12.0, 0.0, reach, lambda lift: 40.0 * lift) or (0.0, [])
+        return pd.DataFrame({"line_id": np.full(len(chain), p.line_id[0]), "chainage": [c[0] for c in chain], "level": [c[1] for c in chain], "total": np.full(len(chain), round(total, 6))})
 
-    return s.per_line(filled(spark, d).where(F.col("idx") < 72), "line_id long, chainage double, level double, total double", lambda p: solve(p) if (p.idx % 8 == 4).any() else pd.DataFrame({"line_id": [], "chainage": [], "level": [], "total": []}))
+    return s.per_line(filled(spark, d), "line_id long, chainage double, level double, total double", solve)
 
 
 def lateral_jumps(spark, d):

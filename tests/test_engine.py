@@ -78,6 +78,26 @@ def test_cascade_equals_enumeration():
         assert got is not None and abs(got[0] - best) < 1e-9
 
 
+def test_cascade_query_covers_whole_lines(spark):
+    from riverline.plans.searches import filled
+
+    lines = filled(spark, DATA).toPandas().sort_values(["line_id", "idx"])
+    got = QUERIES["search_cascade"](spark, DATA).toPandas()
+    assert lines.idx.max() >= 72
+    for line, p in lines.groupby("line_id"):
+        x, run = p.chainage.tolist(), [0.0, *np.cumsum(p.filled)]
+        best = {(0.0, 0): (0.0, 0)}  # (level, vertex) -> cost; vertex 0 carries no structure
+        for k in range(1, len(x)):
+            for (level, i), (cost, _) in list(best.items()):
+                for lift in (2.5, 4.0):
+                    if (i == 0 or x[k] - x[i] >= 150) and level + lift <= 12:
+                        total = cost + run[k] - run[i] + level * (x[k] - x[i]) / 1000 + 40 * lift
+                        best[level + lift, k] = min(best.get((level + lift, k), (np.inf, 0)), (total, i))
+        want = min((c + run[-2] - run[i] + level * (x[-1] - x[i]) / 1000 for (level, i), (c, _) in best.items() if i), default=None)
+        totals = got[got.line_id == line].total
+        assert (want is None and not len(totals)) or np.allclose(totals, want, atol=1e-6) and len(totals)
+
+
 def test_jumps_and_monotone():
     assert search.jumps(np.array([0, 1, 9, 9, 1, 1.0]), 5).tolist() == [False, False, True, True, False, False]
     assert search.shortest([(0, 1, 2.0), (1, 2, 2.0), (0, 2, 5.0)], 0) == {0: 0.0, 1: 2.0, 2: 4.0}
