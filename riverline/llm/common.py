@@ -9,6 +9,7 @@ Conventions for every operator here:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,8 +35,9 @@ def ids_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def fresh(docs: DataFrame, name: str) -> str:
-    """`name`, longer if docs has such a column."""
-    while name in docs.columns:
+    """`name`, longer if docs has such a column in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
@@ -53,9 +55,11 @@ def id_remainder(doc_id, modulus: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one of our own only on a single machine whose session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='riverline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,7 +72,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._durable_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a durable table that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -121,12 +134,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class IdFilter:
-    """A Bloom filter of longs with a fixed number of bits, whatever the data: more ids only let more others through.
+    """A Bloom filter of longs: 16 bits a row, rounded up to a power of two, between LEAST and MOST bits.
 
-    Built by native aggregation (at most bits/64 rows reach the driver) and broadcast.
+    Built by native aggregation (at most bits/64 rows reach the driver) and broadcast (32 MB at most). Beyond MOST / 16 rows it only
+    lets more others through; what it lets through is always joined exactly afterwards.
     """
 
-    def __init__(self, rows: DataFrame, column: str, bits: int = 1 << 26):
+    LEAST, MOST = 1 << 16, 1 << 28
+
+    def __init__(self, rows: DataFrame, column: str):
+        bits = min(self.MOST, max(self.LEAST, 1 << (16 * rows.count()).bit_length()))
         places = self.hashes(F.col(column), bits)
         words = rows.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
         found = words.toArrow()

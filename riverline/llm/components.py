@@ -1,11 +1,15 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds on DataFrames."""
+"""Connected components of a link table, by alternating large-star and small-star rounds on DataFrames.
+
+Defined cases: links of a node with itself and repeated links count for nothing; links with a null end belong to no component; an
+empty table has no nodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import durable
+from riverline.llm.common import discard, durable
 
 
 def _nearest(links: DataFrame) -> DataFrame:
@@ -33,12 +37,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round halves distances at least; hot centres cost one pre-aggregated minimum, never a list of neighbours.
     """
-    links = durable(links.select("u", "v").where("u <> v").distinct(), "links")
+    links = durable(links.select("u", "v").where("u <> v").distinct(), "links")  # a null end is no inequality
     seen = _digest(links)
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        links = durable(_small_star(_large_star(links)), "links")
+        old, links = links, durable(_small_star(_large_star(links)), "links")
+        discard(old)
         now = _digest(links)
         if now == seen:
             break

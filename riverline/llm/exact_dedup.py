@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from riverline.llm.common import IdFilter, durable, ids_and_bytes, mix64, restore_id, shuffle_width
 
 WIDTH = 32
+SHARD_ENTRIES = 1 << 21
 BLOCKS = "run long, shard int, entries int, digests binary, best binary, sizes binary, ids binary, filter binary"
 HITS = "run long, shard int, place int, digest binary, sample long, best long, size long"
 PROBES = 4
@@ -177,26 +178,33 @@ def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "keep_id": keep[entry], "group_size": total[entry], "kept": kept, "digest": pa.array([d.tobytes() for d in digests], pa.binary())})
 
 
+def digested(texts: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
+    """texts (sample, body) with column digest."""
+    if digest is sha256:
+        return texts.withColumn("digest", F.unhex(F.sha2("body", 256)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([digest(b) for b in batch.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), batch.column("body"), found], names=["sample", "body", "digest"])
+
+    return texts.select("sample", "body").mapInArrow(work, "sample long, body binary, digest binary")
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
     memtable_bytes: int = 64 << 20, shards: int | None = None, digest: Callable[[bytes], bytes] = sha256,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest. keep: "smallest" or "largest" id of equal texts."""
-    spark = docs.sparkSession
-    shards = shards or shuffle_width(spark)
+    shards = shards or max(shuffle_width(docs.sparkSession), docs.count() // SHARD_ENTRIES)
     body = ids_and_bytes(docs, id_col, text_col)
     blocks = durable(body.mapInArrow(flusher(shards, memtable_bytes, keep == "largest", digest), BLOCKS), "runs")
     hits = durable(blocks.select("run", "shard", "entries", "digests", "best", "sizes", "ids", "filter").groupBy("shard").applyInArrow(compact, HITS), "hits")
 
-    # only texts of hits are moved: a filter of fixed size picks them where they are read
-    texts = IdFilter(hits, "sample").apply(body.withColumnRenamed("doc_id", "sample"), "sample")
+    # only texts of hits are moved, each (id, text) once: a filter picks them where they are read
+    texts = digested(IdFilter(hits, "sample").apply(body.withColumnRenamed("doc_id", "sample"), "sample"), digest).distinct()
     wanted = hits.select("run", "shard", "place", "digest", "sample", "best", "size")
-    seen = wanted.hint("merge").join(texts, "sample")
-    if digest is not sha256:  # ids alone name texts only while ids are unique
-        check = F.udf(lambda b: digest(bytes(b)), "binary")
-        seen = seen.where(check("body") == F.col("digest"))
-    else:
-        seen = seen.where(F.unhex(F.sha2("body", 256)) == F.col("digest"))
+    seen = wanted.hint("merge").join(texts, ["sample", "digest"])
     seen = seen.groupBy("digest", "body", "run", "shard", "place").agg(F.first("best").alias("best"), F.first("size").alias("size"))
     rank = F.struct(F.col("best") if keep == "largest" else F.bitwise_not("best"), -F.col("run"), -F.col("place"))
     classes = seen.groupBy("digest", "body").agg(

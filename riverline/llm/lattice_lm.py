@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import documents, durable, id_remainder, ids_and_bytes, raw_slices, restore_id, shuffle_width
+from riverline.llm.common import documents, durable, id_remainder, ids_and_bytes, raw_slices, restore_id, shuffle_width, total_bytes
 
 RANK_SHIFT = 50.0
 BYTE_MASS = 0.02
@@ -36,6 +36,8 @@ WORD_END = 0.3
 START = "\u2581".encode()
 BLOCK_WORDS = 1 << 18
 NEVER = -1e30
+#: Bytes of text that a shard of words answers for, and how many shards a block is cut into at most.
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 1 << 14
 BLOCKS = "kind int, block long, shard int, ids binary, words binary, counts binary"
 ANSWERS = "block long, at binary, count binary, inside binary, tokens long, seen long, once long, twice long"
 
@@ -52,7 +54,7 @@ class Lattice:
             if pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_byte(i) or pieces.is_unused(i):
                 continue
             piece = pieces.id_to_piece(i).encode()
-            if piece.lower() == piece and START not in piece[1:]:
+            if piece.lower() == piece and START not in piece[1:]:  # bytes: only A-Z are lowered in texts, too
                 raw[0 if piece.startswith(START) else 1][piece] = 1 / (RANK_SHIFT - pieces.get_score(i))
         self.arcs: list[dict[bytes, float]] = []
         self.open: list[set[bytes]] = []
@@ -208,7 +210,7 @@ def scoring(tokens: int, seen: int, once: int, twice: int):
 
 def lm_scores(docs: DataFrame, model_file: str, shards: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    shards = shards or shuffle_width(docs.sparkSession)
+    shards = shards or max(shuffle_width(docs.sparkSession), min(MOST_SHARDS, total_bytes(docs) // SHARD_BYTES))
     body = ids_and_bytes(docs).withColumn("train", id_remainder(F.col("doc_id"), 7) != 2)
     blocks = durable(body.mapInArrow(numbering(shards), BLOCKS), "blocks")
     asked = blocks.where("kind = 1").select("shard", "block", "ids", "words", "counts")

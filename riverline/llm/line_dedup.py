@@ -3,15 +3,16 @@
 A line parses down a tree of fixed depth: its number of words, its first `LEAD` words, then the rest. Variable fields
 become wildcards on the way: a word with a digit or an at sign, and a word that starts with A-Z after the first. The
 last level generalises further: besides the whole template, a line of `HALVES_FROM` words or more belongs to the template that
-leaves its last part open and to the one that leaves its middle part open. A template is a 64-bit hash of its level,
-word count and words. One that recurs in `min_docs` documents is dropped from all of them but the first (by doc_id).
+leaves its last part open and to the one that leaves its middle part open. Lines under `LEAD` words and lines with more wildcards than
+words generalise no further than their exact words. A template is a 64-bit hash of its level, word count and words. One that recurs
+in `min_docs` documents is dropped from all of them but the first (by doc_id).
 
 Templates are counted by one pre-aggregated shuffle of hashes, so a line in a third of all documents is one row per
-task; texts are moved once, to meet the templates to drop. Lines under `LEAD` words, and lines with more wildcards than words,
-always stay.
+task. Templates in more than a `HOT_SHARE`-th of all rows, `HOT_SHARE` at most, meet their documents by broadcast, the others by a
+shuffle, in which none of them is a hot key; texts are moved once, to meet the templates to drop.
 
-Defined cases: null text is empty and stays so (null in, empty out); a null id sorts first; rows that share an id count
-each, and share what is dropped; an empty table gives no rows; columns of the input with clashing names are kept apart.
+Defined cases: null text is empty and stays so (null in, empty out); blank lines stay; a null id sorts first; rows that share an id count
+each (the SQL below is for unique ids) and share what is dropped; an empty table gives no rows; columns of the input with clashing names, in any case, are kept apart.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import NULL_ID, documents, durable
+from riverline.llm.common import NULL_ID, documents, durable, fresh
 
 LEAD = 3
 HALVES_FROM = 8
 MIN_DOCS = 10
+HOT_SHARE = 1000
 WILD = "<*>"
 
 
@@ -36,10 +38,11 @@ def masked(line: Column) -> Column:
 
 
 def templates(line: Column) -> Column:
-    """Hashes of the templates that a line belongs to; none for a short or mostly variable line."""
-    m = F.array(masked(line))
+    """Hashes of the templates that a line belongs to; none for a blank line."""
+    m = F.array(F.struct(words(line).alias("w"), masked(line).alias("m")))
 
-    def keys(w: Column) -> Column:
+    def keys(both: Column) -> Column:
+        w = both["m"]
         n = F.size(w)
         cut = F.lit(LEAD) + F.floor((n - LEAD) / 2).cast("int")
         level = lambda k, part: F.xxhash64(F.lit(k), n, F.array_join(part, " "))
@@ -47,19 +50,24 @@ def templates(line: Column) -> Column:
         halves = F.array(level("front", F.slice(w, 1, cut)), level("back", F.concat(F.slice(w, 1, LEAD), F.slice(w, cut + 1, n - cut + 1))))
         wild = F.size(F.filter(w, lambda x: x == WILD))
         usable = (n >= LEAD) & (2 * wild <= n)
-        return F.when(usable & (n >= HALVES_FROM), F.concat(whole, halves)).when(usable, whole).otherwise(F.array().cast("array<bigint>"))
+        exact = F.array(level("line", both["w"]))
+        return F.when(usable & (n >= HALVES_FROM), F.concat(whole, halves)).when(usable, whole).when(n > 0, exact).otherwise(F.array().cast("array<bigint>"))
 
     return F.transform(m, keys)[0]  # the words are bound once, not copied into every use
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the text cleaned, and __lines, __dropped: lines before and lines dropped."""
+    """All columns of docs with the text cleaned, and two more: lines before and lines dropped (`counters` names them)."""
+    before, dropped = counters(docs)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     seen = docs.select(ident.alias("__id"), F.explode(F.array_distinct(F.flatten(F.transform(lines, templates)))).alias("__key"))
     seen = durable(seen, "templates")  # parsed once, read twice
-    counted = seen.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__id").alias("__first")).where(F.col("__n") >= min_docs)
-    gone = seen.hint("merge").join(counted.select("__key", "__first"), "__key").where("__id > __first")
+    counted = durable(seen.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__id").alias("__first")).where(F.col("__n") >= min_docs), "recurring")
+    hot = counted.where(F.col("__n") > F.lit(seen.count() // HOT_SHARE)).select("__key", "__first")  # fewer than HOT_SHARE + 1 rows
+    often = F.broadcast(hot)
+    rare = seen.join(often, "__key", "left_anti").hint("merge").join(counted.select("__key", "__first"), "__key")
+    gone = seen.join(often, "__key").unionByName(rare).where("__id > __first")
     per_doc = gone.groupBy("__id").agg(F.collect_set("__key").alias("__keys"))  # at most the templates of one document
     others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))  # no name of docs can clash
     rows = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__body"), others.alias("__row"))
@@ -67,7 +75,12 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     stays = F.filter("__text", lambda x: ~F.arrays_overlap(templates(x), F.col("__keys")))
     kept = joined.withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__text")).otherwise(stays))
     columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
-    return kept.select(*columns, F.size("__text").alias("__lines"), (F.size("__text") - F.size("__kept")).alias("__dropped"))
+    return kept.select(*columns, F.size("__text").alias(before), (F.size("__text") - F.size("__kept")).alias(dropped))
+
+
+def counters(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that line_dedup adds."""
+    return fresh(docs, "__lines"), fresh(docs, "__dropped")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -80,17 +93,17 @@ WITH lines AS (
   SELECT doc_id, text, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
   FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
 parsed AS (
-  SELECT doc_id, place, line,
+  SELECT doc_id, place, line, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS exact,
          list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''),
                         lambda w, i: CASE WHEN regexp_matches(w, '[0-9@]') OR (i > 1 AND regexp_matches(w, '^[A-Z]')) THEN '{WILD}' ELSE w END) AS w
   FROM lines),
 sized AS (SELECT *, len(w) AS n, {LEAD} + (len(w) - {LEAD}) // 2 AS cut FROM parsed),
 keyed AS (
-  SELECT doc_id, place, unnest(CASE WHEN n >= {HALVES_FROM} THEN
+  SELECT doc_id, place, unnest(CASE WHEN n < {LEAD} OR 2 * len(list_filter(w, lambda x: x = '{WILD}')) > n THEN ['line ' || n || ' ' || array_to_string(exact, ' ')] WHEN n >= {HALVES_FROM} THEN
            ['all ' || n || ' ' || array_to_string(w, ' '), 'front ' || n || ' ' || array_to_string(w[1:cut], ' '),
             'back ' || n || ' ' || array_to_string(list_concat(w[1:{LEAD}], w[cut + 1:n]), ' ')]
          ELSE ['all ' || n || ' ' || array_to_string(w, ' ')] END) AS key
-  FROM sized WHERE n >= {LEAD} AND 2 * len(list_filter(w, lambda x: x = '{WILD}')) <= n),
+  FROM sized WHERE n > 0),
 counted AS (SELECT key, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 gone AS (SELECT DISTINCT doc_id, place FROM keyed JOIN counted USING (key) WHERE doc_id > first)
 SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text,

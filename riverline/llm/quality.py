@@ -2,14 +2,15 @@
 
 Words, word pairs and character 3- and 4-grams hash to rows of one learned table. A document is the mean of its word
 rows plus the mean of its character rows, and goes through a softmax. Stochastic gradient descent in numpy trains both
-on a bounded sample of the labelled rows (parameter `sample_rows`, the rows whose hashed ids come first); the sample's
-texts become bags of at most BUCKETS numbers where they are read, so no text reaches the driver. Scoring folds
-table and output into one number per bucket, which is broadcast (its size is fixed), and reads every text once.
+on a bounded sample of the labelled rows (parameter `sample_rows`, the rows whose hashed ids come first, as far as their bags fit
+`sample_bytes` together). The sample's texts become bags of at most BUCKETS numbers where they are read, and one task descends over the bags:
+neither texts nor bags reach the driver. The model is one number per bucket (table and output folded); that is what the driver gets
+and broadcasts, and its size is fixed. Scoring reads every text once.
 
 Two more kinds of word feature stand for repetition, whatever the words: a word equal to the one before, or to any of the three before.
 
 Defined cases: an empty or blank text (or null) has no features and scores the bias, which is the sample's prior; without
-labelled rows every score is 0.5; rows with a null label or null id don't train; repeated ids train once per label row.
+labelled rows every score is 0.5; rows with a null label or null id don't train; of repeated rows of an id and label the one with the least bag trains.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, bucket indices, shares) of each text: shares of a group add up to one."""
+    """(doc_id, label, bucket indices, shares) of each text: shares of a group add up to one."""
     for batch in sliced(batches, SLICE):
         data, offsets = raw_slices(batch.column("body"))
         groups = features(data, offsets)
@@ -75,7 +76,7 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             used = np.flatnonzero(total)
             at.append(used.astype("<i4").tobytes())
             share.append(total[used].astype("<f4").tobytes())
-        yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": pa.array(at, pa.binary()), "share": pa.array(share, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": pa.array(at, pa.binary()), "share": pa.array(share, pa.binary())})
 
 
 class Model:
@@ -111,28 +112,51 @@ def descend(samples: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epo
             label, at, share = samples[k]
             step = rate * (1 - done / steps)
             done += 1
-            hidden = share @ table[at]
-            logit = hidden @ out + own
-            p = np.exp(logit - logit.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = out @ p
-            out -= 0.05 * step * np.outer(hidden, p)
-            own -= 0.01 * step * p
-            table[at] -= step * share[:, None] * back[None, :]
+            rows, for_out, for_own = gradients(table[at], out, own, label, share.astype(float))
+            out -= 0.05 * step * for_out
+            own -= 0.01 * step * for_own
+            table[at] -= step * rows
     turn = out[:, 1] - out[:, 0]
     return Model(table @ turn, float(own[1] - own[0]), len(samples))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample_rows: int) -> Model:
+def gradients(rows: np.ndarray, out: np.ndarray, own: np.ndarray, label: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of -ln softmax(share @ rows @ out + own)[label] by rows, out and own."""
+    hidden = share @ rows
+    logit = hidden @ out + own
+    p = np.exp(logit - logit.max())
+    p /= p.sum()
+    p[label] -= 1
+    return share[:, None] * (out @ p)[None, :], np.outer(hidden, p), p
+
+
+def fit(sample_bytes: int):
+    """One row (table, bias, rows) from all bags of the task, in their order, as far as `sample_bytes` hold them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, held = [], 0
+        for batch in batches:
+            for y, at, share in zip(batch.column("label").to_pylist(), batch.column("at"), batch.column("share")):
+                held += 2 * at.as_buffer().size
+                if held <= sample_bytes:
+                    samples.append((y, np.frombuffer(at.as_py(), "<i4"), np.frombuffer(share.as_py(), "<f4")))
+        if samples:
+            model = descend(samples)
+            yield pa.RecordBatch.from_pydict({"table": pa.array([model.table.astype("<f4").tobytes()], pa.binary()), "bias": [model.bias], "rows": pa.array([model.rows], pa.int64())})
+
+    return work
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, learn, sample_rows: int, sample_bytes: int = 128 << 20) -> Model:
     """Fit on the `sample_rows` labelled rows with the first hashed ids; learn: condition on doc_id."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(learn(F.col("doc_id")))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     rows = ids_and_bytes(docs).where(F.col("doc_id") != F.lit(NULL_ID)).join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    found = rows.select("doc_id", "label", "body").mapInArrow(bags, "label int, at binary, share binary").toArrow()
-    samples = [(int(y), np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4").astype(float)) for y, a, s in zip(*(found.column(c).to_pylist() for c in ("label", "at", "share")))]
-    samples.sort(key=lambda s: (s[0], s[1].tobytes(), s[2].tobytes()))  # the order rows come in doesn't matter
-    return descend(samples)
+    bagged = rows.select("doc_id", "label", "body").mapInArrow(bags, "doc_id long, label int, at binary, share binary")
+    once = bagged.groupBy("doc_id", "label").agg(F.min(F.struct("at", "share")).alias("bag")).select("doc_id", "label", "bag.*")
+    ordered = once.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label")  # sample_rows rows at most
+    found = ordered.select("label", "at", "share").mapInArrow(fit(sample_bytes), "table binary, bias double, rows long").first()
+    return Model(np.frombuffer(found["table"], "<f4"), found["bias"], found["rows"]) if found else Model(np.zeros(BUCKETS), 0.0, 0)
 
 
 def score(docs: DataFrame, model: Model, *kept: str) -> DataFrame:

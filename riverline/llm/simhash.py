@@ -6,6 +6,11 @@ triangle inequality can't rule out also visit the right side, down to every shar
 shard the same recursion goes on over its members until blocks are small enough to compare one by one. So every link
 of the table is found in exactly the shard of its right-hand member, and only a spanning forest of it leaves the shard.
 
+Each level of the top tree copies the points near its border, so the tree has `LEAVES` leaves at any size, and a point has some three
+copies. A table of more points than `LEAVES` shards hold is first cut into groups: of radius + 1 equal blocks of bits, two linked
+fingerprints share one at least, so a point joins the group of each of its blocks (by the block's first bits, as many as the size asks
+for), and every group has its own shards under the same tree. So copies per point stay under a bound while the table grows.
+
 Equal fingerprints are one point, so a group of copies costs one row per task before the first shuffle.
 
 Defined cases: no words (null, empty or blank text) gives fingerprint zero, linked like any other; fewer words than a
@@ -20,14 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverline.llm.common import durable, ids_and_bytes, raw_slices, restore_id, shuffle_width
+from riverline.llm.common import durable, ids_and_bytes, raw_slices, restore_id
 from riverline.llm.components import components
 
 SEED = 42
 CHUNK = 1 << 16
+LEAVES = 16
 
 
 def shingle_hashes(body: bytes, words: int) -> np.ndarray:
@@ -194,22 +200,30 @@ def shard_links(radius: int):
     return work
 
 
-def near_links(nodes: DataFrame, radius: int = 3, members_per_shard: int = 20_000, sample_points: int = 1 << 16) -> DataFrame:
+def blocks(fp: Column, count: int, bits: int) -> Column:
+    """Numbers of the groups of a fingerprint: one a block, by the first `bits` bits of the block."""
+    width = 64 // count
+    return F.array(*(F.lit(k << bits) + F.shiftrightunsigned(F.shiftleft(fp, width * k), 64 - bits) for k in range(count))) if bits else F.array(F.lit(0).cast("long"))
+
+
+def near_links(nodes: DataFrame, radius: int = 3, members_per_shard: int = 200_000, leaves: int = LEAVES, sample_points: int = 1 << 14) -> DataFrame:
     """nodes (fp, node), fp distinct -> links (u, v) whose closure is that of all pairs within `radius` bits."""
     spark = nodes.sparkSession
-    count = nodes.count()
-    shards = max(1, count // members_per_shard, min(shuffle_width(spark), count // 1000))
-    depth = int(np.ceil(np.log2(shards))) if shards > 1 else 0
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(min(sample_points, 256 << depth) if depth else 0).collect()
+    count, width = nodes.count(), 64 // (radius + 1)
+    over = -(-count // (leaves * members_per_shard))
+    bits = min(width, (over - 1).bit_length()) if over > 1 else 0
+    depth = (leaves - 1).bit_length() if count > 1000 else 0
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample_points if depth else 0).collect()
     tree = spark.sparkContext.broadcast(grow(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth, radius))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
-            index, shard, member = route(tree.value, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_pydict({"shard": shard, "fp": fp[index], "node": node[index], "member": member})
+            group, fp, node = (batch.column(c).to_numpy() for c in ("grp", "fp", "node"))
+            index, leaf, member = route(tree.value, fp.view(np.uint64), radius)
+            yield pa.RecordBatch.from_pydict({"shard": group[index] << 16 | leaf, "fp": fp[index], "node": node[index], "member": member})
 
-    dealt = nodes.select("fp", "node").mapInArrow(deal, "shard int, fp long, node long, member boolean")
+    grouped = nodes.select(F.explode(blocks(F.col("fp"), radius + 1, bits)).alias("grp"), "fp", "node")
+    dealt = grouped.mapInArrow(deal, "shard long, fp long, node long, member boolean")
     return dealt.groupBy("shard").applyInArrow(lambda t: shard_links(radius)(t), "u long, v long")
 
 

@@ -4,8 +4,8 @@
    anchors wherever they are. Neighbouring windows with one anchor form a run. Only anchor hashes of a group of documents
    (five bytes each, once a group) go to shards, which answer with those that two documents share.
 2. Contexts. The bytes of runs with shared anchors, each distinct content once a group with its least id, go to buckets
-   by anchor. An anchor with more than `WIDE` contexts in some group (the border of a passage that many documents hold)
-   is split up: its windows go one by one, by their own content.
+   by anchor. An anchor with more than `WIDE` contexts in some group or `WIDE_IN_ALL` in all of them (the border of a passage that
+   many documents hold) is split up: its windows go one by one, by their own content.
 3. Refinement. A bucket builds suffix buckets by bucket-pointer refinement: initial q-gram buckets are refined by sorting
    on the bucket numbers of later offsets (5, 10, 20, 40, then 50 bytes), each pass reusing the numbers of the last, and
    the least id of each final bucket is the first document of its windows. These are comparisons of bytes: hashes only
@@ -34,8 +34,10 @@ from riverline.llm.textscan import per_text
 LENGTH = 50
 GRAM = 32
 CHUNK = 1 << 17
-KEY_BITS = 40
+#: Bits of an anchor: up to a TB of text most anchors differ in the first number, beyond it in the second.
+KEY_BITS, MORE_KEY_BITS, MORE_FROM = 40, 56, 1 << 40
 WIDE = 32
+WIDE_IN_ALL = 256
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 SHARD_KEYS = 1 << 21
@@ -59,7 +61,7 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - (grams - have)], h[grams - have :])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, offsets: np.ndarray, bits: int = KEY_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, windows, text) of each run of windows with one anchor."""
     keys, starts, sizes = [], [], []
     n = len(data) - LENGTH + 1
@@ -73,7 +75,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         new[0] = True
         new[1:] |= low[1:] != low[:-1]
         begin = np.flatnonzero(new)
-        keys.append(low[begin] >> np.uint64(64 - KEY_BITS))
+        keys.append(low[begin] >> np.uint64(64 - bits))
         starts.append(begin + at)
         sizes.append(np.diff(np.append(begin, end - at)))
     if not keys:
@@ -93,16 +95,18 @@ def unpacked(data: bytes) -> bytes:
 
 
 def short(keys: np.ndarray) -> bytes:
-    """Keys as differences in byte planes, compressed: sorted keys take about half of their bits."""
-    steps = np.diff(keys, prepend=np.uint64(0)) & np.uint64((1 << KEY_BITS) - 1)
-    return packed(np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes())
+    """Keys as differences in byte planes, compressed: sorted keys take about half of their bits. The first byte says how many planes."""
+    planes = max(1, (int(keys.max()).bit_length() + 7) // 8) if len(keys) else 1
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return bytes([planes]) + packed(np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes())
 
 
 def full(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpacked(data), np.uint8).reshape(KEY_BITS // 8, -1)
+    n = data[0]
+    planes = np.frombuffer(unpacked(data[1:]), np.uint8).reshape(n, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : KEY_BITS // 8] = planes.T
-    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64) & np.uint64((1 << KEY_BITS) - 1)
+    out[:, :n] = planes.T
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64) & np.uint64((1 << 8 * n) - 1)
 
 
 def by_id(table: pa.Table) -> pa.Table:
@@ -121,16 +125,16 @@ def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
-def split(keys: np.ndarray, parts: int):
+def split(keys: np.ndarray, parts: int, bits: int):
     """(part, slice) of sorted keys by equal ranges."""
-    part = (keys * np.uint64(parts) >> np.uint64(KEY_BITS)).astype(np.int64)
+    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(part)) + 1
     for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(part)]):
         if e > s:
             yield int(part[s]), slice(s, e)
 
 
-KEYS = pa.schema([("shard", pa.int32()), ("g", pa.int64()), ("once", pa.binary()), ("many", pa.binary()), ("wide", pa.binary())])
+KEYS = pa.schema([("shard", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("kinds", pa.binary())])
 SHARED = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_()), ("at", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary())])
 FIRSTS = pa.schema([("g", pa.int64()), ("keys", pa.binary()), ("hot", pa.bool_()), ("at", pa.binary()), ("sizes", pa.binary()), ("firsts", pa.binary())])
@@ -140,11 +144,13 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary', pa.bool_(): 'boolean', pa.string(): 'string'})[f.type]}" for f in schema)
 
 
-def send_keys(shards: int):
+def send_keys(shards: int, bits: int):
+    """Sorted anchors by shard; `kinds` counts an anchor's contexts (127 at most), and its highest bit tells that two documents of the group hold it."""
+
     def work(table: pa.Table) -> pa.Table:
         g = table.column("__g")[0].as_py()
         ids, data, offsets = texts_of(table)
-        key, start, size, text = runs(data, offsets)
+        key, start, size, text = runs(data, offsets, bits)
         order = np.argsort(key, kind="stable")
         key, owner, start, size = key[order], ids[text[order]], start[order], size[order]
         if not len(key):
@@ -156,25 +162,27 @@ def send_keys(shards: int):
         own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         by = np.lexsort((look, own))
         kinds = np.bincount(own[by][np.append(True, (own[by][1:] != own[by][:-1]) | (look[by][1:] != look[by][:-1]))], minlength=len(first))
-        key, broad = key[first], kinds > WIDE
-        return table_of(KEYS, [(shard, g, *(short(key[s][m[s]]) for m in (~many & ~broad, many & ~broad, broad))) for shard, s in split(key, shards)])
+        flags = (np.minimum(kinds, 127) + 128 * many).astype(np.uint8)
+        key = key[first]
+        return table_of(KEYS, [(shard, g, short(key[s]), packed(flags[s].tobytes())) for shard, s in split(key, shards, bits)])
 
     return work
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
-    rows = table.select(["g", "once", "many", "wide"]).to_pylist()
-    own = [tuple(full(r[c]) for c in ("once", "many", "wide")) for r in rows]
-    every = np.sort(np.concatenate([k for parts in own for k in parts]))
-    new = np.append(True, every[1:] != every[:-1])
-    distinct, count = every[new], np.diff(np.append(np.flatnonzero(new), len(every)))
-    again, hot = distinct[count > 1], np.unique(np.concatenate([w for _, _, w in own]))
-    out = []
-    for r, (once, many, broad) in zip(rows, own):
-        mine = np.sort(np.concatenate([once[member(once, again)], many, broad]))
-        if len(mine):
-            is_hot = member(mine, hot)
-            out.append((r["g"], short(mine[~is_hot]), short(mine[is_hot])))
+    rows = table.select(["g", "keys", "kinds"]).to_pylist()
+    own = [full(r["keys"]) for r in rows]
+    flags = np.concatenate([np.frombuffer(unpacked(r["kinds"]), np.uint8) for r in rows]).astype(np.int64)
+    distinct, which, groups = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    kinds, many = flags & 127, flags >> 7
+    shared = (groups > 1) | (np.bincount(which, many, len(distinct)) > 0)
+    hot = shared & ((np.bincount(which, kinds, len(distinct)) > WIDE_IN_ALL) | (np.bincount(which, kinds > WIDE, len(distinct)) > 0))
+    out, at = [], 0
+    for r, keys in zip(rows, own):
+        w = which[at : at + len(keys)]
+        at += len(keys)
+        if shared[w].any():
+            out.append((r["g"], short(keys[shared[w] & ~hot[w]]), short(keys[hot[w]])))
     return table_of(SHARED, out)
 
 
@@ -184,12 +192,12 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, plain: np.ndarray, hot: np.ndarray):
+def contexts(data: np.ndarray, offsets: np.ndarray, plain: np.ndarray, hot: np.ndarray, bits: int):
     """Distinct contexts of a group in a fixed order, and where they occur.
 
     (contents, key of each, hot or not, first text of each, context of each occurrence, its first window, its windows, its text).
     """
-    key, start, size, text = runs(data, offsets)
+    key, start, size, text = runs(data, offsets, bits)
     is_hot = member(key, hot)
     use = is_hot | member(key, plain)
     key, start, size, text, is_hot = key[use], start[use], size[use], text[use], is_hot[use]
@@ -207,14 +215,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray, plain: np.ndarray, hot: np.n
     return list(number), key[first], is_hot[first], text[first], which, start, size, text
 
 
-def send_contexts(buckets: int):
+def send_contexts(buckets: int, bits: int):
     def work(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return CONTEXTS.empty_table()
         g = docs.column("__g")[0].as_py()
         ids, data, offsets = texts_of(docs)
         plain, hot = (np.sort(np.concatenate([full(b) for b in shared.column(c).to_pylist()])) for c in ("keys", "hot"))
-        contents, key, is_hot, text, *_ = contexts(data, offsets, plain, hot)
+        contents, key, is_hot, text, *_ = contexts(data, offsets, plain, hot, bits)
         bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
         for k in np.flatnonzero(is_hot).tolist():
             bucket[k] = zlib.crc32(contents[k]) % buckets
@@ -235,7 +243,7 @@ def ranks(high: np.ndarray, low: np.ndarray | None = None, bits: int = 20) -> np
     """Bucket numbers of the pairs (high, low) in their order; equal pairs share one."""
     key = high if low is None else high << np.uint64(bits) | low
     n = len(key)
-    if n <= NARROW:  # 40 bits of key and 20 of place sort as one number
+    if n <= NARROW and (2 * bits if low is not None else 40) <= 44:  # key and 20 bits of place sort as one number
         packed = np.sort(key << np.uint64(20) | np.arange(n, dtype=np.uint64))
         order, key = (packed & np.uint64(NARROW - 1)).astype(np.int64), packed >> np.uint64(20)
     else:
@@ -248,7 +256,9 @@ def ranks(high: np.ndarray, low: np.ndarray | None = None, bits: int = 20) -> np
 
 def refine(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Numbers of the buckets of equal LENGTH-byte strings that start at `windows`."""
-    bits = max(20, int(len(text)).bit_length())
+    bits = max(20, int(len(text)).bit_length())  # 32 at most: two numbers make one key
+    if bits > 32:
+        raise ValueError("a part holds 4 GB at most")
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     bucket = ranks(wide(padded)[: len(text)] & np.uint64((1 << 40) - 1))  # 5-gram buckets
 
@@ -329,13 +339,13 @@ def first_documents(table: pa.Table) -> pa.Table:
     return table_of(FIRSTS, out)
 
 
-def covered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, firsts: pa.Table) -> np.ndarray:
+def covered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, firsts: pa.Table, bits: int) -> np.ndarray:
     """Which bytes of a group go."""
     depth = np.zeros(len(data) + 1, np.int64)
     rows = firsts.to_pylist()
     if rows:
         plain, hot = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(full(r["keys"]) for r in rows if r["hot"] == h)])) for h in (False, True))
-        *_, which, start, _, text = contexts(data, offsets, plain, hot)
+        *_, which, start, _, text = contexts(data, offsets, plain, hot, bits)
         at, counts = (np.concatenate([np.frombuffer(unpacked(r["at"]), "<u4").reshape(2, -1)[k] for r in rows]).astype(np.int64) for k in (0, 1))
         sizes = np.concatenate([np.frombuffer(unpacked(r["sizes"]), "<u4") for r in rows]).astype(np.int64)
         docs = np.concatenate([np.frombuffer(unpacked(r["firsts"]), "<i8") for r in rows])
@@ -357,64 +367,68 @@ def covered(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, firsts: pa.T
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def left_over(docs: pa.Table, firsts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def left_over(docs: pa.Table, firsts: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(ids, offsets, which bytes go, what remains of each text), by id."""
     ids, data, offsets = texts_of(docs)
-    gone = covered(ids, data, offsets, firsts)
+    gone = covered(ids, data, offsets, firsts, bits)
     stay = data[~gone].tobytes()
     edges = np.concatenate([[0], np.cumsum(per_text((~gone).astype(np.int64), offsets))]).tolist()
     return ids, offsets, gone, [stay[s:e] for s, e in zip(edges, edges[1:])]
 
 
-def report(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-    if not docs.num_rows:
-        return RESULT.empty_table()
-    ids, offsets, gone, kept = left_over(docs, firsts)
-    fresh = gone.copy()
-    fresh[1:] &= ~gone[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(gone)]
-    fresh[inner] = gone[inner]
-    columns = [ids, np.diff(offsets), per_text(gone.astype(np.int64), offsets), per_text(fresh.astype(np.int64), offsets), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-    return pa.table([pa.array(c) for c in columns], schema=RESULT)
+def report(bits: int):
+    def work(docs: pa.Table, firsts: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return RESULT.empty_table()
+        ids, offsets, gone, kept = left_over(docs, firsts, bits)
+        fresh = gone.copy()
+        fresh[1:] &= ~gone[:-1]
+        inner = offsets[:-1][offsets[:-1] < len(gone)]
+        fresh[inner] = gone[inner]
+        columns = [ids, np.diff(offsets), per_text(gone.astype(np.int64), offsets), per_text(fresh.astype(np.int64), offsets), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        return pa.table([pa.array(c) for c in columns], schema=RESULT)
+
+    return work
 
 
 def grouped_firsts(docs: DataFrame, id_col: str, text_col: str, *carried: str):
-    """(documents by group, with columns __g, __id, __body and, in __row, those carried; first documents by group)."""
+    """(documents by group, with columns __g, __id, __body and, in __row, those carried; first documents by group; bits of an anchor)."""
     width = shuffle_width(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups = max(width, size // GROUP_BYTES + 1)
-    shards = max(width, size // (10 * SHARD_KEYS) + 1)
+    shards = max(4 * width, size // (10 * SHARD_KEYS) + 1)  # several to a task, as they are dealt by hash
+    bits = KEY_BITS if size < MORE_FROM else MORE_KEY_BITS
     buckets = max(width, size // BUCKET_BYTES + 1)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     body = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__body"), *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("__row")] if carried else []))
     body = body.withColumn("__g", F.pmod(F.xxhash64("__id"), F.lit(groups)))
-    keys = body.groupBy("__g").applyInArrow(send_keys(shards), ddl(KEYS))
+    keys = body.groupBy("__g").applyInArrow(send_keys(shards, bits), ddl(KEYS))
     shared = keys.groupBy("shard").applyInArrow(shared_keys, ddl(SHARED))
-    sent = body.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(buckets), ddl(CONTEXTS))
+    sent = body.groupBy("__g").cogroup(shared.groupBy("g")).applyInArrow(send_contexts(buckets, bits), ddl(CONTEXTS))
     firsts = sent.groupBy("bucket").applyInArrow(first_documents, ddl(FIRSTS))
-    return body.groupBy("__g"), firsts.groupBy("g")
+    return body.groupBy("__g"), firsts.groupBy("g"), bits
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    body, firsts = grouped_firsts(docs, id_col, text_col)
-    return restore_id(body.cogroup(firsts).applyInArrow(report, ddl(RESULT)))
+    body, firsts, bits = grouped_firsts(docs, id_col, text_col)
+    return restore_id(body.cogroup(firsts).applyInArrow(report(bits), ddl(RESULT)))
 
 
 def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, columns as they are, with the bytes gone from the text; a character that loses a byte goes whole."""
     columns = docs.columns
     others = [c for c in columns if c != text_col]
+    body, groups, bits = grouped_firsts(docs, id_col, text_col, *others)
 
     def work(rows: pa.Table, firsts: pa.Table) -> pa.Table:
-        kept = left_over(rows, firsts)[3] if rows.num_rows else []
+        kept = left_over(rows, firsts, bits)[3] if rows.num_rows else []
         table = by_id(rows) if rows.num_rows else rows
         text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         kept_row = table.column("__row").combine_chunks() if others else None
         return pa.table([text if c == text_col else kept_row.field(others.index(c)) for c in columns], names=columns)
 
-    body, firsts = grouped_firsts(docs, id_col, text_col, *others)
-    return body.cogroup(firsts).applyInArrow(work, docs.schema)
+    return body.cogroup(groups).applyInArrow(work, docs.schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ lambda solves E[exp(lambda * score)] = 1 over words of clean documents, K is fit
 score S in n words has E-value K * n * exp(-lambda * S). The significant ones of a document are combined by the sum
 statistic, and one logistic step turns the result into a score between 0 and 1.
 
-Training uses at most `sample_rows` labelled rows (those whose hashed ids come first); all it keeps is bounded by
-them. Everything that scores reads whole texts.
+Training uses at most `sample_rows` labelled rows (those whose hashed ids come first, as far as their texts fit `sample_bytes`
+together); all it keeps is bounded by them. Everything that scores reads whole texts.
 
 Defined cases: a text without words (null, empty, blank) has no segment and gets the score of a clean text; without
-labels of both classes every score is 0; repeated rows get equal scores.
+labels of both classes every score is 0; repeated rows get equal scores, and of repeated rows of an id the least text trains.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverline.llm.common import NULL_ID, documents, id_remainder, ids_and_bytes, raw_slices, restore_id
@@ -108,8 +108,8 @@ class Model:
         floor = np.log(self.k * max(len(scores), 1) / self.significant) / self.lam
         return sorted((s for s in segments(scores) if s[0] >= floor), reverse=True), len(scores)
 
-    def evidence(self, body: bytes) -> tuple[float, int]:
-        """-ln of the least p-value over sums of the r best significant segments; 0 if there is none."""
+    def evidence(self, body: bytes) -> tuple[float, list[tuple[float, int, int]]]:
+        """-ln of the least p-value over sums of the r best significant segments (0 if there is none), and those segments."""
         found, n = self.passages(body)
         total, best = 0.0, 0.0
         for r, (s, _, _) in enumerate(found, 1):
@@ -117,7 +117,7 @@ class Model:
             if total > 0:
                 tail = total - (r - 1) * np.log(total) + lgamma(r + 1) + lgamma(r) if r > 1 else total
                 best = max(best, tail)
-        return best, len(found)
+        return best, found
 
     def probability(self, evidence: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.offset, -40, 40))))
@@ -181,11 +181,13 @@ def learn(rows: list[tuple[int, bytes]], prior: float = 4.0, drift: float = 0.7,
 
 
 def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int) -> list[tuple[int, bytes]]:
-    """Training rows: the labelled rows with the first hashed ids, as long as their texts fit `sample_bytes`."""
+    """Training rows: the labelled rows with the first hashed ids, whole texts, as far as `sample_bytes` hold them together."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
-    chosen = chosen.where(id_remainder(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    chosen = chosen.where(id_remainder(F.col("doc_id"), 5) != 0).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     rows = ids_and_bytes(docs).where(F.col("doc_id") != F.lit(NULL_ID)).join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    rows = rows.where(F.octet_length("body") <= sample_bytes // sample_rows)
+    rows = rows.groupBy("doc_id", "label").agg(F.min("body").alias("body"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0)  # sample_rows rows at most
+    rows = rows.withColumn("held", F.sum(F.octet_length("body")).over(so_far)).where(F.col("held") <= sample_bytes)
     found = rows.select("doc_id", "label", "body").toArrow()
     return [(y, b) for _, y, b in sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "label", "body"))))]
 
@@ -193,8 +195,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: i
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, score, passages, best_start, best_words: the significant passages' number and the best one's place in words.
 
-    Rows with crc32(doc_id) mod 5 = 0 are held out. Training texts are at most sample_bytes / sample_rows long each
-    (a longer one is left out whole); scored texts are never cut.
+    Rows with crc32(doc_id) mod 5 = 0 are held out. No text is cut, in training or in scoring.
     """
     model = learn(sample(docs, labels, sample_rows, sample_bytes))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,9 +210,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample
                 if model is None:
                     out.append((0.0, 0, None, None))
                     continue
-                evidence, n = model.evidence(whole[s:e])
-                best = model.passages(whole[s:e])[0][0] if n else (0, None, None)
-                out.append((model.probability(evidence), n, best[1], best[2] - best[1] if n else None))
+                evidence, found = model.evidence(whole[s:e])
+                out.append((model.probability(evidence), len(found), *((found[0][1], found[0][2] - found[0][1]) if found else (None, None))))
             score, n, start, words = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(words, pa.int64())], names=["doc_id", "score", "passages", "best_start", "best_words"])
 

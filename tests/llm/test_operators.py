@@ -1,9 +1,9 @@
 """Each operator against a brute-force version on awkward rows, and on an empty table."""
 
 import collections
+import functools
 import hashlib
 import math
-import os
 import random
 import re
 import zlib
@@ -36,6 +36,7 @@ def rows():
     base = sentence(rng, 150)
     texts += [base, base, base + " end", "new " + base, base.replace("river", "rivers", 1), base.upper()]
     texts += ["ERER!! ED!! " * 30, "a### b*** c$$$ " * 30, "日本語 テキスト <|endoftext|> end", "é" * 60 + "e" + "é" * 60, "é" * 130]
+    texts += [sentence(rng, 25_000), "noblanksatall" * 3000]
     out = [(k, t, "en", k % 3, k % 2, 1, "s") for k, t in enumerate(texts)]
     return [*out, out[7], (None, "no id here", None, None, None, None, None), (None, shared, "en", 1, 1, 1, "s")]
 
@@ -186,12 +187,40 @@ def test_lattice_lm(docs, rows):
     text = lambda i: "" if i is None else str(i)
     counts = collections.Counter(w for i, t in tokens for w in t if zlib.crc32(text(i).encode()) % 7 != 2)
     n, v = sum(counts.values()), len(counts)
-    found = lattice_lm.lm_scores(docs, public_tokenizers.path("piece_bpe_32k.model"), shards=3).collect()
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    found = lattice_lm.lm_scores(docs, file, shards=3).collect()
     want = [(i, zlib.crc32(text(i).encode()) % 7 == 2, len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 4)) for i, t in tokens]
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found], want)
+
+    lattice = lattice_lm.Lattice(file)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+
+    @functools.cache
+    def inside(word):
+        """Sum over all segmentations, from the end backwards."""
+        t = lattice_lm.START + word
+        tail = [0.0] * len(t) + [lattice_lm.WORD_END]
+        for i in range(len(t) - 1, -1, -1):
+            arcs = lattice.arcs[i > 0]
+            tail[i] = math.fsum(math.exp(arcs[t[i:j]]) * tail[j] for j in range(i + 1, min(len(t), i + 80) + 1) if t[i:j] in arcs)
+        return tail[0]
+
+    def chance(w):
+        lower = 0.0 if not w else inside(w)
+        return (max(counts[w] - discount, 0) + discount * v * lower) / n
+
+    wants = collections.Counter((i, round(sum(math.log10(chance(w)) for w in t), 2)) for i, t in tokens if all(len(w) < 100 for w in t))
+    got = collections.Counter((r.doc_id, round(r.score, 2)) for r in found if r.doc_id is None or all(len(w) < 100 for w in (rows[r.doc_id][1] or "").split()))
+    assert sum(abs(a[1] - b[1]) > 0.02 or a[0] != b[0] for a, b in zip(sorted(wants.elements(), key=str), sorted(got.elements(), key=str))) == 0
     assert all(math.isfinite(r.score) and r.score <= 0 for r in found)
 
 
+def test_lattice_keeps_pieces_with_other_capitals():
+    lattice = lattice_lm.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    assert any(p.decode("utf-8", "ignore").lower() != p.decode("utf-8", "ignore") for arcs in lattice.arcs for p in arcs)
+
+
 def test_lattice_sums_over_all_segmentations():
     lattice = lattice_lm.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -216,26 +245,44 @@ def test_line_dedup(docs, rows):
     assert all(a[1] is None or r.text == a[1] for r in got.where("doc_id IN (3, 4, 5)").collect() for a in rows if a[0] == r.doc_id)
 
 
-def test_packing(docs, rows):
+def check_pieces(got, texts):
+    """Each id of each text in exactly one piece; sequences gapless from 0; little padding."""
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = collections.Counter()
-    for r in rows:
-        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
-        want[r[0], len(ids)] += len(ids)
-    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
-    held = collections.Counter()
+    ids = collections.defaultdict(list)
+    for i, t in texts:
+        ids[i].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4"))
+    spans = collections.defaultdict(list)
     for r in got:
-        held[r.doc_id, r.doc_tokens] += r.length
-    assert held == want
+        spans[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(spans) == set(ids)
+    for i, texts_of_id in ids.items():
+        left = sorted(spans[i])
+        for own in sorted(texts_of_id, key=len, reverse=True):  # rows that share an id take the pieces that fit
+            at = 0
+            while at < len(own):
+                fit = next(p for p in left if p[0] == at and p[3] == len(own) and p[2] == zlib.crc32(own[at : at + p[1]].tobytes()))
+                left.remove(fit)
+                at += fit[1]
+            assert at == len(own)
+        assert not left
     by_sequence = collections.defaultdict(list)
     for r in got:
         by_sequence[r.sequence_id].append((r.offset, r.length))
+    padding = total = 0
     for pieces in by_sequence.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= 1024
+        total += at
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    return padding, total
+
+
+def test_packing(docs, rows):
+    padding, total = check_pieces(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect(), [r[:2] for r in rows])
+    assert padding <= 0.01 * total + 3 * 1024  # a last sequence for each of three tasks
 
 
 def test_best_windows_equal_enumeration():
@@ -266,7 +313,8 @@ def test_word_bpe(docs, rows):
 
 
 def test_rules(docs, rows, labels):
-    want = []
+    want, bags, word_lists = [], [], []
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
     for r in rows:
         t = r[1] or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -274,9 +322,35 @@ def test_rules(docs, rows, labels):
         again = {k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         want.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w)))
+        h = [plain_hash(x.encode()) for x in w]
+        bags.append([x % rules.BUCKETS for x in h] + [plain_mix((plain_mix(a) * 31 + b) % 2**64) % rules.BUCKETS for a, b in zip(h, h[1:])])
+        word_lists.append(w)
     found = rules.quality_rules(docs, labels.where("quality = 1")).collect()
     same([tuple(r)[:7] for r in found], want)
-    assert not any(r.kept and r.base_failed for r in found)
+
+    target, raw = collections.Counter(), collections.Counter()
+    for r, bag in zip(rows, bags):
+        raw.update(bag)
+        if r[0] is not None and r[0] in good:
+            target.update(bag)
+    odds = lambda b: math.log((target[b] + rules.ALPHA) / (sum(target.values()) + rules.ALPHA * rules.BUCKETS)) - math.log((raw[b] + rules.ALPHA) / (sum(raw.values()) + rules.ALPHA * rules.BUCKETS))
+    table = {b: odds(b) for b in raw}
+    ratio = [sum(table[b] for b in bag) / max(len(bag), 1) for bag in bags]
+    trusted = [x for r, x, w in zip(rows, ratio, word_lists) if r[0] is not None and r[0] in good and w]
+    floor = np.mean(trusted) - rules.DEVIATIONS * np.std(trusted)
+    same([(r.doc_id, round(r.ratio, 6), r.kept) for r in found], [(w[0], round(x, 6), not w[6] and x >= floor) for w, x in zip(want, ratio)])
+
+
+def plain_mix(x):
+    """mix64 on plain numbers."""
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD % 2**64
+    x ^= x >> 29
+    return x * 0xC4CEB9FE1A85EC53 % 2**64 ^ x >> 32
+
+
+def plain_hash(word):
+    return plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, b in enumerate(word)) % 2**64)
 
 
 def test_quality_and_toxicity_score_every_row(docs, rows, labels):
@@ -338,12 +412,3 @@ def test_empty_tables(nothing, labels):
         rules.quality_rules(nothing, none), quality.quality_scores(nothing, none), toxicity.toxicity(nothing, none),
     ):
         assert found.count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "repeats", "packing"]
-    got = corpus_pipeline.run(spark, d).toPandas()
-    assert len(got) and set(got.doc_id) <= set(range(200)) and not os.path.exists("spark-warehouse/none")
