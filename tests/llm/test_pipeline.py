@@ -25,7 +25,7 @@ def rows():
     base = [say(rng.randint(1, 90)) for _ in range(50)]
     passage = say(60)
     texts = [None, "", " ", *base, base[9], base[9] + " end", base[12].replace("river", "lake", 1)]
-    texts += [f"{say(6)}\nPage {k} of 70\n{passage}\nAll rights reserved.\n{say(5)}" for k in range(25)] + ["# * $ & " * 25] * 3
+    texts += [f"{say(6)}\nPage {k} of 70\n{passage}\nAll rights reserved.\n{say(5)}" for k in range(25)] + [" ".join(rng.choice(["#", "*", "$$", "&", "##"]) for _ in range(60)) for _ in range(25)]
     return [(k, t, "en", len(t or ""), k % 4, k % 3) for k, t in enumerate(texts)]
 
 
@@ -80,7 +80,7 @@ def test_near_copies(spark, docs, rows, folder):
     for _ in rows:
         group = [min(group[k] for k in range(len(rows)) if near(sets[i], sets[k])) for i in range(len(rows))]
     assert run("near_copies", spark, docs, folder) == others(rows, [r[1] if group[k] == k else False for k, r in enumerate(rows)])
-    assert len(set(group)) < len(rows) - 5
+    assert len(set(group)) <= len(rows) - 5
 
 
 def test_repeats(spark, docs, rows, folder):
