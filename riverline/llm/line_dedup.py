@@ -4,7 +4,7 @@ A line parses down a tree of fixed depth: its number of words, its first `LEAD`
 become wildcards on the way: a word with a digit or an at sign, and a word that starts with A-Z after the first. The
 last level generalises further: besides the whole template, a line of `HALVES_FROM` words or more belongs to the template that
 leaves its last part open and to the one that leaves its middle part open. Lines under `LEAD` words and lines with more wildcards than
-words generalise no further than their exact words. A template is a 64-bit hash of its level, word count and words. One that recurs
+words generalise no further than the line as it is. A template is a 64-bit hash of its level, word count and words. One that recurs
 in `min_docs` documents is dropped from all of them but the first (by doc_id).
 
 Templates are counted by one pre-aggregated shuffle of hashes, so a line in a third of all documents is one row per
@@ -39,10 +39,9 @@ def masked(line: Column) -> Column:
 
 def templates(line: Column) -> Column:
     """Hashes of the templates that a line belongs to; none for a blank line."""
-    m = F.array(F.struct(words(line).alias("w"), masked(line).alias("m")))
+    m = F.array(masked(line))
 
-    def keys(both: Column) -> Column:
-        w = both["m"]
+    def keys(w: Column) -> Column:
         n = F.size(w)
         cut = F.lit(LEAD) + F.floor((n - LEAD) / 2).cast("int")
         level = lambda k, part: F.xxhash64(F.lit(k), n, F.array_join(part, " "))
@@ -50,7 +49,7 @@ def templates(line: Column) -> Column:
         halves = F.array(level("front", F.slice(w, 1, cut)), level("back", F.concat(F.slice(w, 1, LEAD), F.slice(w, cut + 1, n - cut + 1))))
         wild = F.size(F.filter(w, lambda x: x == WILD))
         usable = (n >= LEAD) & (2 * wild <= n)
-        exact = F.array(level("line", both["w"]))
+        exact = F.array(F.xxhash64(F.lit("line"), line))
         return F.when(usable & (n >= HALVES_FROM), F.concat(whole, halves)).when(usable, whole).when(n > 0, exact).otherwise(F.array().cast("array<bigint>"))
 
     return F.transform(m, keys)[0]  # the words are bound once, not copied into every use
@@ -93,13 +92,13 @@ WITH lines AS (
   SELECT doc_id, text, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
   FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
 parsed AS (
-  SELECT doc_id, place, line, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS exact,
+  SELECT doc_id, place, line,
          list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''),
                         lambda w, i: CASE WHEN regexp_matches(w, '[0-9@]') OR (i > 1 AND regexp_matches(w, '^[A-Z]')) THEN '{WILD}' ELSE w END) AS w
   FROM lines),
 sized AS (SELECT *, len(w) AS n, {LEAD} + (len(w) - {LEAD}) // 2 AS cut FROM parsed),
 keyed AS (
-  SELECT doc_id, place, unnest(CASE WHEN n < {LEAD} OR 2 * len(list_filter(w, lambda x: x = '{WILD}')) > n THEN ['line ' || n || ' ' || array_to_string(exact, ' ')] WHEN n >= {HALVES_FROM} THEN
+  SELECT doc_id, place, unnest(CASE WHEN n < {LEAD} OR 2 * len(list_filter(w, lambda x: x = '{WILD}')) > n THEN ['line ' || line] WHEN n >= {HALVES_FROM} THEN
            ['all ' || n || ' ' || array_to_string(w, ' '), 'front ' || n || ' ' || array_to_string(w[1:cut], ' '),
             'back ' || n || ' ' || array_to_string(list_concat(w[1:{LEAD}], w[cut + 1:n]), ' ')]
          ELSE ['all ' || n || ' ' || array_to_string(w, ' ')] END) AS key
