@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from riverline import fixtures
 from riverline.operators.joins import as_of
 from riverline.operators.volumes import exact
-from riverline.plans import formulas, joins, lines, searches, volumes
+from riverline.plans import formulas, geometry, joins, lines, searches, volumes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (formulas, lines, joins, volumes, searches):
+for _part in (formulas, lines, joins, volumes, searches, geometry):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 

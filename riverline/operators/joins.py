@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def small(table: DataFrame, what: str) -> DataFrame:
+    """`table` with a broadcast hint, after a count: more than BROADCAST_ROWS rows are refused."""
+    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"{what} is meant to be small")
+    return F.broadcast(table)
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """`table` with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def as_of(left: DataFrame, right: DataFrame, at: str, start: str, value: str, keys: list[str], default: Column | None = None, name: str | None = None) -> DataFrame:
     """The value of the last right row with start <= at, by keys; `default` before the first. Of equal starts the greatest value holds."""
     name = name or value
@@ -37,11 +49,11 @@ def interpolated(left: DataFrame, right: DataFrame, at: str, start: str, value:
 
 
 def within(points: DataFrame, spans: DataFrame, at: str, a: str, b: str, width: float, how: str = "inner", closed: bool = False) -> DataFrame:
-    """points joined to the spans that hold them: [a, b), or [a, b] if closed. A span goes to each bucket of `width` it meets."""
+    """points joined to the spans that hold them: [a, b), or [a, b] if closed. A span goes to each bucket of `width` it meets; few spans are broadcast."""
     spread = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
     test = (F.col(at) >= F.col(a)) & ((F.col(at) <= F.col(b)) if closed else (F.col(at) < F.col(b)))
     dealt = points.withColumn("__p", F.floor(F.col(at) / width))
-    return dealt.join(spread, (F.col("__p") == F.col("__b")) & test, how).drop("__p", "__b")
+    return dealt.join(if_small(spread), (F.col("__p") == F.col("__b")) & test, how).drop("__p", "__b")
 
 
 def overlapping(spans: DataFrame, others: DataFrame, width: float, test: Column) -> DataFrame:
@@ -55,51 +67,65 @@ def overlapping(spans: DataFrame, others: DataFrame, width: float, test: Column)
 def inside(points: DataFrame, edges: DataFrame, height: float) -> DataFrame:
     """points (x, y, ...) with `inside`: strictly inside the polygon of edges (poly, x1, y1, x2, y2), even-odd; the boundary is outside.
 
-    Edges go to the horizontal strips they meet, points to one; a point counts the edges that cross to its right.
+    Edges go to the horizontal strips they meet, points to one; a point counts the edges that cross to its right. Few edges are
+    broadcast as one list a strip and counted in the point's own row; many are joined, and crossings summed before the points' shuffle.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edges.withColumn("__s", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
-    dealt = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.floor(F.col("y") / height))
-    cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    on = (cross == 0) & F.col("y").between(low, high) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2"))
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    right = spans & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    hits = dealt.join(spread, F.col("__p") == F.col("__s"), "left").groupBy("__id", *points.columns).agg(F.sum(right.cast("int")).alias("__n"), F.max(on).alias("__on"))
+    strip = lambda c: F.floor(c / height)
+    spread = edges.withColumn("__s", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+
+    def tests(e) -> tuple[Column, Column]:
+        x1, y1, x2, y2 = (e(c) for c in ("x1", "y1", "x2", "y2"))
+        x, y = F.col("x"), F.col("y")
+        cross = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        on = (cross == 0) & y.between(F.least(y1, y2), F.greatest(y1, y2)) & x.between(F.least(x1, x2), F.greatest(x1, x2))
+        right = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)))
+        return F.coalesce(right, F.lit(False)), on
+
+    dealt = points.withColumn("__p", strip(F.col("y")))
+    if spread.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        lists = spread.groupBy("__s").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__e"))
+        d = dealt.join(F.broadcast(lists), F.col("__p") == F.col("__s"), "left")
+        count = F.size(F.filter("__e", lambda e: tests(lambda c: e[c])[0]))
+        edge = F.exists("__e", lambda e: tests(lambda c: e[c])[1])
+        return d.withColumn("inside", F.when(F.col("__e").isNull(), False).otherwise((count % 2 == 1) & ~edge)).drop("__p", "__s", "__e")
+    right, on = tests(F.col)
+    hits = dealt.withColumn("__id", F.monotonically_increasing_id()).join(spread, F.col("__p") == F.col("__s"), "left").groupBy("__id", *points.columns).agg(F.sum(right.cast("int")).alias("__n"), F.max(on).alias("__on"))
     return hits.withColumn("inside", (F.coalesce("__n", F.lit(0)) % 2 == 1) & ~F.coalesce("__on", F.lit(False))).drop("__id", "__n", "__on")
 
 
-def nearest_on_lines(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
-    """points (pid, px, py) with the nearest segment (sid, ax, ay, bx, by) within `reach`: pid, sid, share, dist; the least sid wins ties."""
+def nearest_on_lines(points: DataFrame, segments: DataFrame, reach: float, keys: list[str] | None = None) -> DataFrame:
+    """points (pid, px, py) with the nearest segment (sid, ax, ay, bx, by) of the same keys within `reach`: pid, sid, share, dist; the least sid wins ties."""
+    keys = keys or []
     from riverline.functions.formulas import share_on_segment
 
     cell = lambda c: F.floor(F.col(c) / reach)
     span = lambda p, q: F.explode(F.sequence(F.least(cell(p), cell(q)) - 1, F.greatest(cell(p), cell(q)) + 1))
     spread = segments.withColumn("__cx", span("ax", "bx")).withColumn("__cy", span("ay", "by"))
     dealt = points.withColumn("__px", cell("px")).withColumn("__py", cell("py"))
-    d = dealt.join(spread, (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")))
+    d = dealt.withColumnsRenamed({"__px": "__cx", "__py": "__cy"}).join(spread, [*keys, "__cx", "__cy"])
     d = d.withColumn("share", share_on_segment(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))))
     dx, dy = F.col("ax") + F.col("share") * (F.col("bx") - F.col("ax")) - F.col("px"), F.col("ay") + F.col("share") * (F.col("by") - F.col("ay")) - F.col("py")
     d = d.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= reach)
-    return d.groupBy("pid").agg(F.min_by(F.struct("sid", "share", "dist"), F.struct("dist", "sid")).alias("h")).select("pid", "h.*")
+    return d.groupBy(*keys, "pid").agg(F.min_by(F.struct("sid", "share", "dist"), F.struct("dist", "sid")).alias("h")).select(*keys, "pid", "h.*")
 
 
-def crossings(segments: DataFrame, others: DataFrame, cell: float) -> DataFrame:
-    """Proper and touching meetings of segments (sid, ax..by) and others (oid, cx, cy, dx, dy): sid, oid, t, u."""
+def crossings(segments: DataFrame, others: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
+    """Proper and touching meetings of segments (sid, ax..by) and others (oid, cx, cy, dx, dy) of the same keys: sid, oid, t, u."""
+    keys = keys or []
     box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / cell), F.floor(F.greatest(lo, hi) / cell))
     left = segments.withColumn("__i", F.explode(box("ax", "bx"))).withColumn("__j", F.explode(box("ay", "by")))
-    right = others.withColumn("__k", F.explode(box("cx", "dx"))).withColumn("__l", F.explode(box("cy", "dy")))
+    right = others.withColumn("__i", F.explode(box("cx", "dx"))).withColumn("__j", F.explode(box("cy", "dy")))
     rx, ry, sx, sy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy")
     det = rx * sy - ry * sx
     t = ((F.col("cx") - F.col("ax")) * sy - (F.col("cy") - F.col("ay")) * sx) / F.nullif(det, F.lit(0.0))
     u = ((F.col("cx") - F.col("ax")) * ry - (F.col("cy") - F.col("ay")) * rx) / F.nullif(det, F.lit(0.0))
-    d = left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l"))).withColumn("t", t).withColumn("u", u)
-    return d.where(F.col("t").between(0, 1) & F.col("u").between(0, 1)).select("sid", "oid", "t", "u").distinct()
+    d = left.join(right, [*keys, "__i", "__j"]).withColumn("t", t).withColumn("u", u)
+    return d.where(F.col("t").between(0, 1) & F.col("u").between(0, 1)).select(*keys, "sid", "oid", "t", "u").distinct()
 
 
 def next_larger(rows: DataFrame, caps: DataFrame, amount: str, cap: str, name: str) -> DataFrame:
     """The least cap >= amount, with its name: a forward as-of over the whole (small, checked) cap table."""
-    if caps.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("the cap table is meant to be small; use as_of with a key instead")
+    small(caps, "the cap table")
     table = caps.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(cap).alias("c"), F.col(name).alias("n")))).alias("__caps"))
     found = F.try_element_at(F.filter("__caps", lambda x: x["c"] >= F.col(amount)), F.lit(1))
     return rows.join(F.broadcast(table)).withColumn(name, found["n"]).drop("__caps")

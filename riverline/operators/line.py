@@ -178,12 +178,12 @@ def meanders(line: DataFrame, most: float, least: int = 3) -> DataFrame:
 
 
 def resampled(line: DataFrame, step: float, ends: str) -> DataFrame:
-    """Points every `step` along each line. ends: "floor" (i * step), "ceil" (whole line in even parts, three at least), "frame" (even parts, floor)."""
+    """Points every `step` along each line. ends: "floor" (i * step), "exact" (the same, the line's very end dropped), "ceil" (whole line in even parts, three at least), "frame" (even parts, floor)."""
     d = chainages(line).withColumn("__x1", lead("x")).withColumn("__y1", lead("y")).withColumn("__s1", lead("along"))
     total = F.max("along").over(whole())
-    count = {"floor": F.floor(total / step) + 1, "ceil": F.greatest(F.ceil(total / step) + 1, F.lit(3)), "frame": F.floor(total / step) + 1}[ends]
+    count = {"floor": F.floor(total / step) + 1, "exact": F.ceil((total + 1e-9) / step), "ceil": F.greatest(F.ceil(total / step) + 1, F.lit(3)), "frame": F.floor(total / step) + 1}[ends]
     d = d.withColumn("__t", total).withColumn("__n", count.cast("long"))
-    spacing = F.lit(float(step)) if ends == "floor" else F.when(F.col("__n") > 1, F.col("__t") / (F.col("__n") - 1)).otherwise(F.lit(float(step)))
+    spacing = F.lit(float(step)) if ends in ("floor", "exact") else F.when(F.col("__n") > 1, F.col("__t") / (F.col("__n") - 1)).otherwise(F.lit(float(step)))
     d = d.withColumn("__h", spacing).where("__s1 > along")
     # a segment owns the samples from its start up to its end, the last one also the line's end
     last = F.col("__s1") == F.col("__t")

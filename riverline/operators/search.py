@@ -7,12 +7,28 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def per_line(line: DataFrame, schema: str, solve: Callable[[pd.DataFrame], pd.DataFrame], key: str = "line_id") -> DataFrame:
-    """solve gets one line in vertex order; a line must fit one task, as every window over it must."""
-    return line.groupBy(key).applyInPandas(lambda p: solve(p.sort_values("idx", kind="stable").reset_index(drop=True)), schema)
+def per_line(line: DataFrame, schema: str, solve: Callable[[pd.DataFrame], pd.DataFrame], key: str = "line_id", order: str = "idx") -> DataFrame:
+    """solve gets one line in vertex order. Lines are dealt to buckets, several to a task, and a bucket is one Arrow table: a line must fit a task, as every window over it must."""
+    buckets = 4 * int(line.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def work(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas().drop(columns="__bucket").sort_values([key, order], kind="stable")
+        keys = frame[key].to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        found = [solve(frame.iloc[s:e].reset_index(drop=True)) for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)])]
+        return pa.Table.from_pandas(pd.concat(found, ignore_index=True), preserve_index=False)
+
+    wanted = StructType.fromDDL(schema)
+    dealt = line.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    arrow = to_arrow_schema(wanted)
+    return dealt.groupBy("__bucket").applyInArrow(lambda t: work(t).select(arrow.names).cast(arrow), wanted)
 
 
 def never_rising(levels: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -37,18 +53,28 @@ def taubin(xy: np.ndarray, passes: int, shrink: float = 0.5, swell: float = -0.5
     return out
 
 
-def crossings_of(profile: np.ndarray, chainage: np.ndarray, lift: float, first: float, most: float) -> list[tuple[float, float]]:
-    """(chainage, level) of each weir: the next stands where the bed first reaches the pool level of the last."""
-    out, level, at = [], first, 0
+def crossings_of(profile: np.ndarray, chainage: np.ndarray, height: float, first: float, most: float, implanted: float = 0.0, start: float | None = None) -> list[tuple[float, float]]:
+    """(chainage, level) of each weir: the next stands where the bed first reaches the pool level of the last.
+
+    A weir of `height` stands `implanted` in the bed and lifts the water by the rest. The first stands at `start`, or where the bed first
+    reaches the level `first`; its crest is above its own bed, and no weir starts from a pool of `most` or more.
+    """
+    lift = height - implanted
     if lift <= 0:
         raise ValueError("the lift must be positive")
-    while level < most:
-        later = np.flatnonzero(profile[at:] >= level)
+    reached = np.flatnonzero(profile >= first)
+    at = min(int(np.searchsorted(chainage, start)), len(profile) - 1) if start is not None else int(reached[0]) if len(reached) else 0
+    out = [(float(chainage[at]), float(profile[at] + lift))]
+    while out[-1][1] < most:
+        level = out[-1][1]
+        later = np.flatnonzero(profile[at + 1 :] >= level)
         if not len(later):
             break
-        at += int(later[0])
-        level = profile[at] + lift if not out else level + lift
-        out.append((float(chainage[at]), float(level)))
+        k = at + 1 + int(later[0])
+        rise = profile[k] - profile[k - 1]
+        share = (level - profile[k - 1]) / rise if rise else 1.0
+        out.append((float(chainage[k - 1] + share * (chainage[k] - chainage[k - 1])), float(level + lift)))
+        at = k
     return out
 
 
@@ -73,32 +99,82 @@ def cheapest_levels(cost: np.ndarray, step_cost: float, most_step: int) -> tuple
     return path[::-1], float(best.min())
 
 
-def cascade(sites: list[float], lifts: list[float], terminal: float, spacing: float, cap: float, base: float, reach_cost, structure_cost) -> tuple[float, list[tuple[float, float]]] | None:
-    """Cheapest chain of (site, level) that ends at the last site chosen: exact over sites x levels reachable by sums of lifts.
+def cascade(sites: list[float], lifts: list[float], terminal: float, spacing: float, cap: float, base: float, reach_cost, structure_cost, source: float = 0.0, terminal_level: float = -math.inf, best: int = 1) -> list[tuple[float, list[tuple[float, float]]]]:
+    """The `best` cheapest chains of (site, level), each (cost, chain): exact over sites x levels reachable by sums of lifts.
 
-    reach_cost(from, to, level) takes arrays of places and levels.
+    Sites lie beyond the source and up to the terminal, `spacing` from each other and from the source; levels stay at or under `cap`, the
+    last at or over `terminal_level`. reach_cost(from, to, level) takes arrays. Endings are ordered by cost, site, level; of equal ways
+    to a state the earlier site, level, lift wins. A negative `best` leaves out so many endings.
     """
-    at, levels, costs, back = np.array([0.0]), np.array([float(base)]), np.array([0.0]), np.array([-1])
-    for site in sorted({s for s in sites if 0 < s <= terminal}):
-        ok = np.flatnonzero((at <= 0) | (site - at >= spacing))
-        reached = costs[ok] + reach_cost(at[ok], site, levels[ok])
-        total = np.stack([reached + structure_cost(lift) for lift in lifts], axis=1).ravel()
-        up = np.round(levels[ok, None] + np.array(lifts, float), 3).ravel()
-        source = np.repeat(ok, len(lifts))
-        fine = np.flatnonzero((up <= cap) & (total < math.inf))
-        order = fine[np.lexsort((total[fine], up[fine]))]  # stable: of equals the earlier state
-        best = order[np.unique(up[order], return_index=True)[1]]
-        at, levels = np.append(at, np.full(len(best), float(site))), np.append(levels, up[best])
-        costs, back = np.append(costs, total[best]), np.append(back, source[best])
-    if len(at) == 1:
-        return None
-    whole = costs + reach_cost(at, terminal, levels)
-    k = int(np.lexsort((levels[1:], at[1:], whole[1:]))[0]) + 1
-    cost, chain = float(whole[k]), []
-    while k > 0:
-        chain.append((float(at[k]), float(levels[k])))
-        k = int(back[k])
-    return cost, chain[::-1]
+    at = np.array([source, *sorted(s for s in sites if source < s <= terminal)])
+    levels, new = {round(base, 3)}, {round(base, 3)}
+    while new:
+        new = {round(h + x, 3) for h in new for x in lifts} - levels
+        new = {h for h in new if h <= cap}
+        levels |= new
+    height = np.array(sorted(levels))
+    price = [structure_cost(x) for x in lifts]
+    into: list[list[tuple[int, float]]] = [[] for _ in height]  # for each level the levels below it and what the lift costs, in order
+    for h, low in enumerate(height.tolist()):
+        for x, cost in zip(lifts, price):
+            up = round(low + x, 3)
+            if up in levels:
+                into[int(np.searchsorted(height, up))].append((h, cost))
+    total = np.full((len(at), len(height)), np.inf)
+    total[0, np.searchsorted(height, round(base, 3))] = 0.0
+    back = np.zeros((len(at), len(height), 2), int)
+    for j in range(1, len(at)):
+        n = int(np.searchsorted(-(at[j] - at[:j]), -spacing, side="right"))  # sites far enough back
+        if not n:
+            continue
+        known = total[:n] + np.where(np.isfinite(total[:n]), reach_cost(at[:n, None], at[j], height[None, :]), 0)
+        for k, ways in enumerate(into):
+            if ways:
+                options = np.stack([known[:, h] + cost for h, cost in ways], axis=1)
+                flat = int(options.argmin())
+                i, w = divmod(flat, len(ways))
+                total[j, k], back[j, k] = options[i, w], (i, ways[w][0])
+    j, k = np.nonzero(np.isfinite(total) & (height >= terminal_level - 1e-9)[None, :])
+    j, k = j[j > 0], k[j > 0]
+    if not len(j):
+        return []
+    whole = total[j, k] + reach_cost(at[j], terminal, height[k])
+    order = np.lexsort((k, j, whole))
+    out = []
+    for e in (order[:best] if best >= 0 else order[: max(0, len(order) + best)]).tolist():
+        chain, state = [], (int(j[e]), int(k[e]))
+        while state[0] > 0:
+            chain.append((float(at[state[0]]), float(height[state[1]])))
+            state = tuple(back[state].tolist())
+        out.append((float(whole[e]), chain[::-1]))
+    return out
+
+
+def cascade_cost(weirs: list[tuple[float, float]], terminal: float, base: float, reach_cost, structure_cost, source: float = 0.0) -> tuple[float, list[tuple[float, float]]]:
+    """(cost, chain) of given weirs (place, lift): levels add up, rounded to millimetres."""
+    level, at, total, chain = round(base, 3), source, 0.0, []
+    for place, lift in sorted(weirs):
+        total += float(reach_cost(np.array(at), place, np.array(level))) + structure_cost(lift)
+        at, level = place, round(level + lift, 3)
+        chain.append((place, level))
+    return total + float(reach_cost(np.array(at), terminal, np.array(level))), chain
+
+
+def level_table(along: np.ndarray, areas: Callable[[float], dict[str, np.ndarray]], levels: list[float], step: float) -> dict:
+    """Dredged and excavated areas of every station at every level, and a reach cost from their running sums."""
+    levels = sorted(levels)
+    found = [areas(level) for level in levels]
+    sums = {k: np.concatenate([np.zeros((1, len(levels))), np.cumsum(np.stack([f[k] for f in found], axis=1) * step, axis=0)]) for k in ("dredge", "excav")}
+
+    def volumes(a, b, level) -> tuple[np.ndarray, np.ndarray]:
+        """Of stations a <= s < b."""
+        k = np.searchsorted(levels, np.round(level, 3))
+        if np.any(k >= len(levels)) or not np.allclose(np.take(levels, np.minimum(k, len(levels) - 1)), level):
+            raise KeyError("a level that the table does not hold")
+        i, j = np.searchsorted(along, a), np.searchsorted(along, b)
+        return tuple(sums[n][j, k] - sums[n][i, k] for n in ("dredge", "excav"))
+
+    return {"levels": levels, "areas": found, "volumes": volumes, "cost": lambda wet, dry: lambda a, b, level: sum(w * v for w, v in zip((wet, dry), volumes(a, b, level)))}
 
 
 def jumps(offset: np.ndarray, limit: float) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverline.functions.formulas import cut_face
+from riverline.operators.joins import small
+from riverline.operators.search import per_line
 
 #: Fixed values of the cut model: intrusion that calls for a bench, sustained run, depth bands.
 INTRUDES, DAYLIGHT_RUN, BANDS = 2.0, 15.0, 40
@@ -86,29 +90,26 @@ def decimated(cells: DataFrame, k: int) -> DataFrame:
     return g.agg(F.when(F.count("z") == k * k, F.sum("z") / (k * k)).alias("z"))
 
 
-def neighbours(cells: DataFrame, reach: int) -> DataFrame:
-    """Each cell with the values around it (column v), edge cells not repeated."""
-    step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    sent = cells.withColumn("q", F.explode(step)).select("raster_id", (F.col("row") + F.col("q.i")).alias("row"), (F.col("col") + F.col("q.j")).alias("col"), F.col("z").alias("v"))
-    return cells.join(sent, ["raster_id", "row", "col"])
-
-
 def despiked(cells: DataFrame, size: int, reach: int = 2, k: float = 4.0, floor: float = 3.0) -> DataFrame:
-    """Hampel filter on (2 * reach + 1) squared windows, edge cells repeated, upper median; columns z, spike."""
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    clip = lambda c: F.least(F.lit(size - 1), F.greatest(F.lit(0), c)).cast("long")
-    asked = cells.withColumn("q", F.explode(near)).select("raster_id", "row", "col", "z", clip(F.col("row") + F.col("q.i")).alias("r2"), clip(F.col("col") + F.col("q.j")).alias("c2"))
-    other = cells.select("raster_id", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("z").alias("v"))
+    """Hampel filter on (2 * reach + 1) squared windows of size x size tiles, edge cells repeated, upper median; columns z, spike. A tile is one array of a task."""
     n = (2 * reach + 1) ** 2
-    g = asked.join(other, ["raster_id", "r2", "c2"]).groupBy("raster_id", "row", "col").agg(F.first("z").alias("z"), F.sort_array(F.collect_list("v")).alias("v"))  # n values each
-    d = g.withColumn("m", F.element_at("v", n // 2 + 1)).withColumn("mad", F.element_at(F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("m")))), n // 2 + 1))
-    spike = F.abs(F.col("z") - F.col("m")) > F.greatest(F.lit(floor), k * 1.4826 * F.col("mad"))
-    return d.withColumn("spike", spike).withColumn("z", F.when(spike, F.col("m")).otherwise(F.col("z"))).select("raster_id", "row", "col", "z", "spike")
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        z = np.full((size, size), np.nan)
+        z[p.row, p["col"]] = p.z
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(z, reach, mode="edge"), (2 * reach + 1, 2 * reach + 1)).reshape(size, size, n)
+        median = np.sort(near, axis=2)[:, :, n // 2]
+        spread = np.sort(np.abs(near - median[:, :, None]), axis=2)[:, :, n // 2]
+        spike = np.abs(z - median) > np.maximum(floor, k * 1.4826 * spread)
+        found = np.where(spike, median, z)
+        return pd.DataFrame({"raster_id": p.raster_id, "row": p.row, "col": p["col"], "z": found[p.row, p["col"]], "spike": spike[p.row, p["col"]]})
+
+    return per_line(cells.select("raster_id", "row", "col", "z"), "raster_id long, row long, col long, z double, spike boolean", solve, "raster_id", "row")
 
 
 def governing(rules: DataFrame, objects: DataFrame, applies: Column) -> DataFrame:
     """(object, measure, limit, rule): the strictest lower bound of the rules that apply; the least rule id of equals."""
-    hit = objects.join(F.broadcast(rules), applies)
+    hit = objects.join(small(rules, "the rule table"), applies)
     return hit.groupBy("object", "measure").agg(F.max("limit").alias("limit"), F.max_by("rule", F.struct("limit", -F.col("rule"))).alias("rule"))
 
 

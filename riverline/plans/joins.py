@@ -24,13 +24,14 @@ def query(name: str, sql: str | None = None):
 
 
 def pools(spark, d):
-    """Pools on every line: the weirs, shifted by the line's number."""
-    lines = x.stations(spark, d).select("line_id").distinct()
-    return lines.crossJoin(F.broadcast(x.weirs(spark, d).where("start < 4000"))).withColumn("start", F.col("start") + F.col("line_id") % 7)  # ten weirs at most
+    """A pool starts at each station with the tag of a structure; its level is the station's."""
+    s = x.stations(spark, d).where(F.col("tag") == STRUCTURE)
+    return s.select("line_id", (F.col("chainage") + F.col("line_id") % 7).alias("start"), F.coalesce("z", F.lit(7.5)).alias("level"))
 
 
-POOLS = "pools AS (SELECT line_id, start + line_id % 7 AS start, level FROM (SELECT DISTINCT line_id FROM stations) CROSS JOIN weirs WHERE weirs.start < 4000)"
-HEAD = f"WITH {x.STATIONS}, {x.WEIRS}, {POOLS}"
+STRUCTURE = "purchase"
+POOLS = f"pools AS (SELECT line_id, chainage + line_id % 7 AS start, coalesce(z, 7.5) AS level FROM stations WHERE tag = '{STRUCTURE}')"
+HEAD = f"WITH {x.STATIONS}, {POOLS}"
 
 
 @query("join_water_level", f"{HEAD} SELECT s.line_id, s.idx, coalesce(p.level, {DOWN}) AS level FROM stations s ASOF LEFT JOIN pools p ON s.line_id = p.line_id AND s.chainage >= p.start")
@@ -60,19 +61,19 @@ def _(spark, d):
     return found.join(F.broadcast(last)).select("line_id", "idx", F.coalesce("reach", "last").alias("reach"))
 
 
-BLOCKS = "blocked AS (SELECT line_id AS size, chainage AS c, chainage + (idx % 3) * 400.0 AS d FROM stations WHERE z > 300 AND line_id < 40), kms AS (SELECT DISTINCT floor(chainage / 1000) * 1000 AS a, floor(chainage / 1000) * 1000 + 1000 AS b FROM stations)"
+BLOCKS = "blocked AS (SELECT line_id % 50 + 1 AS size, chainage AS c, chainage + (idx % 3) * 400.0 AS d FROM stations WHERE z > 300), kms AS (SELECT DISTINCT floor(chainage / 1000) * 1000 AS a, floor(chainage / 1000) * 1000 + 1000 AS b FROM stations)"
 
 
-@query("join_km_envelope", f"""WITH {x.STATIONS}, {BLOCKS}, sizes AS (SELECT DISTINCT line_id AS size FROM stations WHERE line_id < 40)
+@query("join_km_envelope", f"""WITH {x.STATIONS}, {BLOCKS}, sizes AS (SELECT DISTINCT p_size AS size FROM part)
 SELECT k.a AS km, max(s.size) AS largest FROM kms k CROSS JOIN sizes s WHERE NOT EXISTS (SELECT 1 FROM blocked w WHERE w.size = s.size AND w.c < k.b AND w.d >= k.a) GROUP BY k.a""")
 def _(spark, d):
     s = x.stations(spark, d)
-    blocked = s.where("z > 300 AND line_id < 40").select(F.col("line_id").alias("size"), F.col("chainage").alias("c"), (F.col("chainage") + (F.col("idx") % 3) * 400.0).alias("d"))
+    blocked = s.where("z > 300").select((F.col("line_id") % 50 + 1).alias("size"), F.col("chainage").alias("c"), (F.col("chainage") + (F.col("idx") % 3) * 400.0).alias("d")).distinct()
     km = (F.floor(F.col("chainage") / 1000) * 1000).cast("double")
     kms = s.select(km.alias("a"), (km + 1000).alias("b")).distinct()
-    sizes = s.where("line_id < 40").select("line_id").distinct().withColumnRenamed("line_id", "size")
+    sizes = x.table(spark, d, "part").select(F.col("p_size").cast("long").alias("size")).distinct()  # the catalogue of sizes
     shut = j.overlapping(kms, blocked, 1000.0, (F.col("c") < F.col("b")) & (F.col("d") >= F.col("a"))).select("a", "size").distinct()
-    free = kms.crossJoin(F.broadcast(sizes)).join(shut, ["a", "size"], "left_anti")  # 40 sizes at most
+    free = kms.crossJoin(j.small(sizes, "the catalogue of sizes")).join(shut, ["a", "size"], "left_anti")
     return free.groupBy(F.col("a").alias("km")).agg(F.max("size").alias("largest"))
 
 
@@ -109,31 +110,53 @@ def _(spark, d):
     return j.inside(x.stations(spark, d).select("line_id", "idx", "x", "y"), square(spark), 20.0).select("line_id", "idx", "inside")
 
 
-def segments(spark, d, line: int):
+def segments(spark, d):
     from riverline.operators.line import lead
 
-    s = x.stations(spark, d).where(F.col("line_id") == line).withColumn("bx", lead("x")).withColumn("by", lead("y")).where("bx IS NOT NULL")
-    return s.select(F.col("idx").alias("sid"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
+    s = x.stations(spark, d).withColumn("bx", lead("x")).withColumn("by", lead("y")).where("bx IS NOT NULL")
+    return s.select("line_id", F.col("idx").alias("sid"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
 
 
-SEG = "seg AS (SELECT idx AS sid, x AS ax, y AS ay, bx, ey FROM (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS ey FROM stations WHERE line_id = {0} WINDOW w AS (ORDER BY idx)) WHERE bx IS NOT NULL)"
+SEG = "seg AS (SELECT line_id, idx AS sid, x AS ax, y AS ay, bx, ey FROM (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS ey FROM stations WINDOW w AS (PARTITION BY line_id ORDER BY idx)) WHERE bx IS NOT NULL)"
 NEAR = "greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (ey - ay)) / ((bx - ax) * (bx - ax) + (ey - ay) * (ey - ay))))"
 
 
-@query("join_nearest_segment", f"""WITH {x.STATIONS}, {SEG.format(1)}, n AS (SELECT p.idx AS pid, sid, ax, ay, bx, ey, p.x AS px, p.y AS py, {NEAR} AS t FROM stations p CROSS JOIN seg WHERE p.line_id = 2),
-dd AS (SELECT pid, sid, round(sqrt((ax + t * (bx - ax) - px) ** 2 + (ay + t * (ey - ay) - py) ** 2), 6) AS dist FROM n)
-SELECT pid, min(dist) AS dist FROM dd WHERE dist <= 60 GROUP BY pid""")
+@query("join_nearest_segment", f"""WITH {x.STATIONS}, {SEG}, n AS (SELECT seg.line_id, p.idx AS pid, sid, ax, ay, bx, ey, p.x AS px, p.y AS py, {NEAR} AS t FROM stations p JOIN seg ON seg.line_id = p.line_id + 1),
+dd AS (SELECT line_id, pid, sid, round(sqrt((ax + t * (bx - ax) - px) ** 2 + (ay + t * (ey - ay) - py) ** 2), 6) AS dist FROM n)
+SELECT line_id, pid, min(dist) AS dist FROM dd WHERE dist <= 60 GROUP BY line_id, pid""")
 def _(spark, d):
-    p = x.stations(spark, d).where("line_id = 2").select(F.col("idx").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return j.nearest_on_lines(p, segments(spark, d, 1), 60.0).select("pid", r6("dist").alias("dist"))
+    """Each line's vertices on the line after it."""
+    p = x.stations(spark, d).select((F.col("line_id") + 1).alias("line_id"), F.col("idx").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return j.nearest_on_lines(p, segments(spark, d), 60.0, ["line_id"]).select("line_id", "pid", r6("dist").alias("dist"))
 
 
-@query("join_self_crossings", f"""WITH {x.STATIONS}, {SEG.format(1)}, {SEG.format(2).replace('seg AS', 'oth AS')}, m AS (SELECT s.sid, o.sid AS oid, (s.bx - s.ax) * (o.ey - o.ay) - (s.ey - s.ay) * (o.bx - o.ax) AS det,
- (o.ax - s.ax) * (o.ey - o.ay) - (o.ay - s.ay) * (o.bx - o.ax) AS tn, (o.ax - s.ax) * (s.ey - s.ay) - (o.ay - s.ay) * (s.bx - s.ax) AS un FROM seg s CROSS JOIN oth o)
-SELECT sid, oid, round(tn / det, 6) + 0.0 AS t FROM m WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1""")
+@query("join_line_crossings", f"""WITH {x.STATIONS}, {SEG}, m AS (SELECT s.line_id, s.sid, o.sid AS oid, (s.bx - s.ax) * (o.ey - o.ay) - (s.ey - s.ay) * (o.bx - o.ax) AS det,
+ (o.ax - s.ax) * (o.ey - o.ay) - (o.ay - s.ay) * (o.bx - o.ax) AS tn, (o.ax - s.ax) * (s.ey - s.ay) - (o.ay - s.ay) * (s.bx - s.ax) AS un FROM seg s JOIN seg o ON o.line_id = s.line_id + 1)
+SELECT line_id, sid, oid, round(tn / det, 6) + 0.0 AS t FROM m WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1""")
 def _(spark, d):
-    other = segments(spark, d, 2).select(F.col("sid").alias("oid"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    return j.crossings(segments(spark, d, 1), other, 50.0).select("sid", "oid", r6("t").alias("t"))
+    """Each line with the line after it."""
+    other = segments(spark, d).select((F.col("line_id") - 1).alias("line_id"), F.col("sid").alias("oid"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    return j.crossings(segments(spark, d), other, 50.0, ["line_id"]).select("line_id", "sid", "oid", r6("t").alias("t"))
+
+
+#: Vertices strayed along the line, so that lines cross themselves.
+ASTRAY = "astray AS (SELECT line_id, idx, x - (idx % 5) * 30.0 AS x, y FROM stations)"
+SELF = SEG.replace("stations", "astray")
+
+
+@query("join_self_crossings", f"""WITH {x.STATIONS}, {ASTRAY}, {SELF}, m AS (SELECT s.line_id, s.sid, o.sid AS oid, (s.bx - s.ax) * (o.ey - o.ay) - (s.ey - s.ay) * (o.bx - o.ax) AS det,
+ (o.ax - s.ax) * (o.ey - o.ay) - (o.ay - s.ay) * (o.bx - o.ax) AS tn, (o.ax - s.ax) * (s.ey - s.ay) - (o.ay - s.ay) * (s.bx - s.ax) AS un FROM seg s JOIN seg o ON o.line_id = s.line_id AND o.sid > s.sid + 1)
+SELECT line_id, count(*) AS meetings, false AS simple FROM m WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1 GROUP BY line_id
+UNION ALL SELECT line_id, 0, true FROM (SELECT DISTINCT line_id FROM stations) WHERE line_id NOT IN (SELECT line_id FROM m WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1)""")
+def _(spark, d):
+    """A line is simple if no two of its segments meet but neighbours."""
+    from riverline.operators.line import lead
+
+    s = x.stations(spark, d).withColumn("x", F.col("x") - (F.col("idx") % 5) * 30.0)
+    seg = s.withColumn("bx", lead("x")).withColumn("by", lead("y")).where("bx IS NOT NULL").select("line_id", F.col("idx").alias("sid"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
+    other = seg.select("line_id", F.col("sid").alias("oid"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    met = j.crossings(seg, other, 50.0, ["line_id"]).where("oid > sid + 1").groupBy("line_id").agg(F.count("*").alias("meetings"))
+    return s.select("line_id").distinct().join(met, "line_id", "left").select("line_id", F.coalesce("meetings", F.lit(0)).alias("meetings"), F.col("meetings").isNull().alias("simple"))
 
 
 @query("join_next_larger_class", f"WITH {x.VESSELS}, caps AS (SELECT n_nationkey * 20.0::DOUBLE AS cap, n_name AS name FROM nation) SELECT id, (SELECT min_by(name, cap) FROM caps WHERE cap >= loa) AS name FROM vessels")

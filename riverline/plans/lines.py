@@ -166,14 +166,14 @@ def _(spark, d):
     return o.curvature_runs(bent(spark, d), 2).select("line_id", "key", "i0", "i1", "n")
 
 
-@query("line_meander_runs", f"WITH {S}, {KAPPA}, {RUNS} SELECT line_id, i0, i1, round(least_radius, 3) AS least_radius FROM found WHERE least_radius <= 15")
+@query("line_meander_runs", f"WITH {S}, {KAPPA}, {RUNS} SELECT line_id, i0, i1, round(least_radius, 3) AS least_radius FROM found WHERE least_radius <= 30")
 def _(spark, d):
-    return o.meander_runs(bent(spark, d), 15.0, 2).select("line_id", "i0", "i1", r6("least_radius", 3).alias("least_radius"))
+    return o.meander_runs(bent(spark, d), 30.0, 2).select("line_id", "i0", "i1", r6("least_radius", 3).alias("least_radius"))
 
 
-@query("line_meanders", f"WITH {S}, {KAPPA}, {RUNS} SELECT line_id, i0, row_number() OVER (PARTITION BY line_id ORDER BY i0) AS number FROM found WHERE least_radius <= 15")
+@query("line_meanders", f"WITH {S}, {KAPPA}, {RUNS} SELECT line_id, i0, row_number() OVER (PARTITION BY line_id ORDER BY i0) AS number FROM found WHERE least_radius <= 30")
 def _(spark, d):
-    return o.meanders(bent(spark, d), 15.0, 2).select("line_id", "i0", "number")
+    return o.meanders(bent(spark, d), 30.0, 2).select("line_id", "i0", "number")
 
 
 @query("line_bend_units", f"""WITH {S}, {KAPPA}, sm AS (SELECT *, avg(kappa) OVER (PARTITION BY line_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ks FROM bent),
@@ -186,9 +186,9 @@ def _(spark, d):
     return found.select("line_id", "i0", "i1", r6("m", 8).alias("sharpest"))
 
 
-for _kind, _step in (("floor", 40.0), ("ceil", 40.0), ("frame", 25.0)):
-    _count = {"floor": f"floor(total / {_step})::BIGINT + 1", "ceil": f"greatest(ceil(total / {_step})::BIGINT + 1, 3)", "frame": f"floor(total / {_step})::BIGINT + 1"}[_kind]
-    _h = f"{_step}::DOUBLE" if _kind == "floor" else f"CASE WHEN n > 1 THEN total / (n - 1) ELSE {_step}::DOUBLE END"
+for _kind, _step in (("floor", 40.0), ("exact", 35.0), ("ceil", 40.0), ("frame", 25.0)):
+    _count = {"exact": f"ceil((total + 1e-9) / {_step})::BIGINT", "floor": f"floor(total / {_step})::BIGINT + 1", "ceil": f"greatest(ceil(total / {_step})::BIGINT + 1, 3)", "frame": f"floor(total / {_step})::BIGINT + 1"}[_kind]
+    _h = f"{_step}::DOUBLE" if _kind in ("floor", "exact") else f"CASE WHEN n > 1 THEN total / (n - 1) ELSE {_step}::DOUBLE END"
 
     @query(f"line_resample_{_kind}", f"""WITH {S}, {DIST}, t AS (SELECT line_id, max(along) AS total FROM along GROUP BY line_id HAVING max(along) > 0), c AS (SELECT line_id, total, {_count} AS n FROM t),
 h AS (SELECT line_id, total, n, {_h} AS h FROM c), k AS (SELECT line_id, h, total, unnest(range(n)) AS k FROM h),

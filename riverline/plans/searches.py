@@ -60,7 +60,8 @@ def cascades(spark, d):
         def reach(a, b, level):
             return run[np.searchsorted(places, b)] - run[np.searchsorted(places, a)] + level * (b - a) / 1000
 
-        total, chain = s.cascade(places.tolist(), [2.5, 4.0], float(places[-1]), 150.0, 12.0, 0.0, reach, lambda lift: 40.0 * lift) or (0.0, [])
+        found = s.cascade(places.tolist(), [2.5, 4.0], float(places[-1]), 150.0, 12.0, 0.0, reach, lambda lift: 40.0 * lift)
+        total, chain = found[0] if found else (0.0, [])
         return pd.DataFrame({"line_id": np.full(len(chain), p.line_id[0]), "chainage": [c[0] for c in chain], "level": [c[1] for c in chain], "total": np.full(len(chain), round(total, 6))})
 
     return s.per_line(filled(spark, d), "line_id long, chainage double, level double, total double", solve)

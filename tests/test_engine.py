@@ -57,25 +57,35 @@ def test_level_path_equals_enumeration():
 
 def test_cascade_equals_enumeration():
     rng = np.random.default_rng(3)
-    for _ in range(8):
-        sites = sorted(rng.choice(np.arange(50, 500, 50), 4, replace=False).tolist())
-        weight = rng.integers(1, 9)
+    for _ in range(12):
+        sites = sorted(rng.choice(np.arange(10, 500, 35), 4, replace=False).tolist())
+        weight, lowest = rng.integers(1, 9), float(rng.choice([-np.inf, 3.5, 5.5]))
         reach = lambda a, b, level, w=weight: (b - a) * abs(level - w) / 10
         build = lambda lift: 7 * lift
-        best = np.inf
+        states = {}  # (last site, level) -> the least cost of a chain that ends there
         for n in range(1, 5):
             for chosen in itertools.combinations(sites, n):
-                if any(b - a < 60 for a, b in zip(chosen, chosen[1:])):
+                if any(b - a < 60 for a, b in zip((0, *chosen), chosen)):  # the source keeps its distance, too
                     continue
                 for ups in itertools.product([2.0, 3.5], repeat=n):
                     level, at, total = 0.0, 0.0, 0.0
                     for s, u in zip(chosen, ups):
                         total += reach(at, s, level) + build(u)
                         at, level = s, round(level + u, 3)
-                    if level <= 8:
-                        best = min(best, total + reach(at, 500.0, level))
-        got = search.cascade(sites, [2.0, 3.5], 500.0, 60.0, 8.0, 0.0, reach, build)
-        assert got is not None and abs(got[0] - best) < 1e-9
+                    if level <= 8 and level >= lowest:
+                        key = (at, level)
+                        states[key] = min(states.get(key, np.inf), total + reach(at, 500.0, level))
+        got = search.cascade(sites, [2.0, 3.5], 500.0, 60.0, 8.0, 0.0, reach, build, terminal_level=lowest, best=3)
+        assert np.allclose([c for c, _ in got], sorted(states.values())[:3])
+        assert len(search.cascade(sites, [2.0, 3.5], 500.0, 60.0, 8.0, 0.0, reach, build, terminal_level=lowest, best=-1)) == max(0, len(states) - 1)
+        for cost, chain in got:
+            lifts = np.diff([0.0, *(h for _, h in chain)])
+            assert abs(search.cascade_cost(list(zip((s for s, _ in chain), lifts)), 500.0, 0.0, reach, build)[0] - cost) < 1e-9
+
+
+def test_a_site_near_the_source_is_not_chosen():
+    near = search.cascade([10.0], [2.0], 100.0, 60.0, 8.0, 0.0, lambda a, b, level: 0 * (b - a) + 0 * level, lambda lift: 1.0)
+    assert near == []
 
 
 def test_cascade_query_covers_whole_lines(spark):
@@ -90,9 +100,10 @@ def test_cascade_query_covers_whole_lines(spark):
         for k in range(1, len(x)):
             for (level, i), (cost, _) in list(best.items()):
                 for lift in (2.5, 4.0):
-                    if (i == 0 or x[k] - x[i] >= 150) and level + lift <= 12:
+                    if x[k] - x[i] >= 150 and level + lift <= 12:
                         total = cost + run[k] - run[i] + level * (x[k] - x[i]) / 1000 + 40 * lift
                         best[level + lift, k] = min(best.get((level + lift, k), (np.inf, 0)), (total, i))
+        # the first vertex is the source
         want = min((c + run[-2] - run[i] + level * (x[-1] - x[i]) / 1000 for (level, i), (c, _) in best.items() if i), default=None)
         totals = got[got.line_id == line].total
         assert (want is None and not len(totals)) or np.allclose(totals, want, atol=1e-6) and len(totals)
@@ -111,6 +122,26 @@ def test_engine_imports_without_text_operators():
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
 
 
+def test_weirs():
+    bed, along = np.array([0.0, 1, 4, 4, 9, 20]), np.arange(6) * 100.0
+    assert search.crossings_of(bed, along, 3.0, 0.0, 8.0) == [(0.0, 3.0), (pytest.approx(100 + 200 / 3), 6.0), (pytest.approx(340.0), 9.0)]
+    found = search.crossings_of(bed, along, 5.0, 0.0, 8.0, implanted=2.0, start=150.0)
+    assert found[0] == (200.0, 7.0) and found[1] == (pytest.approx(360.0), 10.0) and len(found) == 2
+    with pytest.raises(ValueError):
+        search.crossings_of(bed, along, 2.0, 0.0, 8.0, implanted=2.0)
+
+
+def test_streaming_maximum(spark, tmp_path):
+    from riverline.streaming.readings import running_maximum
+
+    spark.createDataFrame([(1, 2.0), (1, 5.0), (2, 1.0)], "user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, value double").parquet(str(tmp_path / "in"))
+    q = running_maximum(stream).writeStream.outputMode("update").format("memory").queryName("most").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {tuple(r) for r in spark.sql("SELECT * FROM most").collect()} == {(1, 5.0), (2, 1.0)}
+
+
 def test_streaming(spark, tmp_path):
     from riverline.streaming.readings import windowed
 
