@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from riverline.llm.common import documents, durable, ids_and_bytes, raw_slices, restore_id, shuffle_width
 from riverline.llm.packing import PLAIN, byte_letters
 
-LEAF = 1024
+LEAF = 2048
 WINDOW = 32
 SYMBOLS = 32
 SPLIT = 1 << 22
-CACHE = 250_000
+CACHE = 500_000
+NEVER = 1 << 60
 BLANK = re.compile("[ \\t\\n\\r]")
 Unit = tuple[bytes, str]
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -58,21 +59,19 @@ class Merges:
 
     def direct(self, parts: list[str]) -> list[str]:
         """Merge the pair of least rank, leftmost first, until none is left."""
-        parts, rank = list(parts), self.rank
-        while len(parts) > 1:
-            ranks = [rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
+        parts, rank = list(parts), self.rank.get
+        ranks = [rank(p, NEVER) for p in zip(parts, parts[1:])]
+        while ranks:
             least = min(ranks)
-            if least == 1 << 60:
+            if least == NEVER:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i < n - 1 and ranks[i] == least:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def encode(self, parts: list[str]) -> list[str]:
@@ -135,15 +134,16 @@ class WordBpe:
                 found, cache, make = [w for w, _ in split], self.by_letters, self.of_letters
             else:
                 found, cache, make = WORD.findall(part.lower()), self.cache, self.word
-            if len(cache) > CACHE:
-                cache.clear()
-            for w in found:
-                unit = cache.get(w)
-                if unit is None:
-                    unit = make(w)
-                    if len(w) < 64:
-                        cache[w] = unit
-                out.append(unit)
+            units = list(map(cache.get, found))
+            if None in units:
+                if len(cache) > CACHE:
+                    cache.clear()
+                for k, w in enumerate(found):
+                    if units[k] is None:
+                        units[k] = cache.get(w) or make(w)
+                        if len(w) < 64:
+                            cache[w] = units[k]
+            out += units
         return out
 
     def tree(self, text: str, lo: int, hi: int) -> list[Unit]:
