@@ -309,7 +309,8 @@ def _(p):
 def _(p):
     line = planar.Line(points(p))
     n = planar.normals(line, line.along, 5.0)
-    return {"idx": p.idx, "width": [planar.probed_width(water(p), line.points[k], n[k]) for k in range(len(p))]}
+    rings = water(p)
+    return {"idx": p.idx, "width": [planar.probed_width(rings, line.points[k], n[k]) for k in range(len(p))]}
 
 
 @per_line("geo_measured_widths", "sample long, chainage double, width double")
@@ -405,7 +406,7 @@ def _(p):
 
 @per_line("geo_navigable_water", "part long, area double")
 def _(p):
-    found = polygons.parts(polygons.navigable_water(water(p, 6), 15.0, 5.0))
+    found = polygons.parts(polygons.navigable_water(water(p, 16), 15.0, 5.0))
     return {"part": range(len(found)), "area": [round(polygons.area(f), 3) for f in found]}
 
 
