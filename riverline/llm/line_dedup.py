@@ -17,6 +17,8 @@ each (the SQL below is for unique ids) and share what is dropped; an empty table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,38 +31,47 @@ HOT_SHARE = 1000
 WILD = "<*>"
 
 
-def words(line: Column) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+#: White space in a line other than one single space; then, after a border, a word with a digit or an at sign or one that starts with A-Z after another word.
+SPACES = "[\\x20\\x09\\x0B-\\x0D]{2,}+|[\\x09\\x0B-\\x0D]"
+ODD_SPACES = ("\t", "\x0b", "\x0c", "\r", "  ")
+FIELDS = "(^|[\\x20\\n])(?:[^\\x20\\n0-9@]*+[0-9@]|(?<=[^\\x20\\n]\\x20)[A-Z])[^\\x20\\n]*+"
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
-def masked(line: Column) -> Column:
-    return F.transform(words(line), lambda w, i: F.when(w.rlike("[0-9@]") | ((i > 0) & w.rlike("^[A-Z]")), F.lit(WILD)).otherwise(w))
+def masked(text: Column) -> Column:
+    """The lines of a text with single spaces between words and wildcards in place; the whole text is scanned at once, not word by word."""
+    odd = reduce(lambda found, part: found | F.contains(text, F.lit(part)), ODD_SPACES[1:], F.contains(text, F.lit(ODD_SPACES[0])))
+    single = F.when(odd, F.regexp_replace(text, SPACES, " ")).otherwise(text)
+    return F.transform(lines_of(F.regexp_replace(single, FIELDS, f"$1{WILD}")), lambda line: F.trim(line))
 
 
-def templates(line: Column) -> Column:
-    """Hashes of the templates that a line belongs to; none for a blank line."""
-    m = F.array(masked(line))
+def templates(line: Column, mask: Column) -> Column:
+    """Hashes of the templates that a line, also given masked, belongs to; none for a blank line."""
 
     def keys(w: Column) -> Column:
         n = F.size(w)
         cut = F.lit(LEAD) + F.floor((n - LEAD) / 2).cast("int")
-        level = lambda k, part: F.xxhash64(F.lit(k), n, F.array_join(part, " "))
-        whole = F.array(level("all", w))
-        halves = F.array(level("front", F.slice(w, 1, cut)), level("back", F.concat(F.slice(w, 1, LEAD), F.slice(w, cut + 1, n - cut + 1))))
-        wild = F.size(F.filter(w, lambda x: x == WILD))
-        usable = (n >= LEAD) & (2 * wild <= n)
+        level = lambda k, part: F.xxhash64(F.lit(k), n, part)
+        whole = F.array(level("all", mask))
+        back = F.concat(F.substring_index(mask, " ", LEAD), F.lit(" "), F.call_function("substring_index", mask, F.lit(" "), cut - n))
+        halves = F.array(level("front", F.call_function("substring_index", mask, F.lit(" "), cut)), level("back", back))
+        usable = (n >= LEAD) & (2 * (n - F.size(F.array_remove(w, WILD))) <= n)
         exact = F.array(F.xxhash64(F.lit("line"), line))
-        return F.when(usable & (n >= HALVES_FROM), F.concat(whole, halves)).when(usable, whole).when(n > 0, exact).otherwise(F.array().cast("array<bigint>"))
+        return F.when(usable & (n >= HALVES_FROM), F.concat(whole, halves)).when(usable, whole).otherwise(exact)
 
-    return F.transform(m, keys)[0]  # the words are bound once, not copied into every use
+    bound = F.transform(F.array(F.split(mask, " ")), keys)[0]  # the words are bound once, not copied into every use
+    return F.when(mask == "", F.array().cast("array<bigint>")).otherwise(bound)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text cleaned, and two more: lines before and lines dropped (`counters` names them)."""
     before, dropped = counters(docs)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    seen = docs.select(ident.alias("__id"), F.explode(F.array_distinct(F.flatten(F.transform(lines, templates)))).alias("__key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    seen = docs.select(ident.alias("__id"), F.explode(F.array_distinct(F.flatten(F.zip_with(lines_of(text), masked(text), templates)))).alias("__key"))
     seen = durable(seen, "templates")  # parsed once, read twice
     counted = durable(seen.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__id").alias("__first")).where(F.col("__n") >= min_docs), "recurring")
     hot = counted.where(F.col("__n") > F.lit(seen.count() // HOT_SHARE)).select("__key", "__first")  # fewer than HOT_SHARE + 1 rows
@@ -69,9 +80,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     gone = seen.join(often, "__key").unionByName(rare).where("__id > __first")
     per_doc = gone.groupBy("__id").agg(F.collect_set("__key").alias("__keys"))  # at most the templates of one document
     others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))  # no name of docs can clash
-    rows = docs.select(ident.alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__body"), others.alias("__row"))
-    joined = rows.hint("merge").join(per_doc, "__id", "left").withColumn("__text", F.split("__body", "\n"))
-    stays = F.filter("__text", lambda x: ~F.arrays_overlap(templates(x), F.col("__keys")))
+    rows = docs.select(ident.alias("__id"), text.alias("__body"), others.alias("__row"))
+    joined = rows.hint("merge").join(per_doc, "__id", "left").withColumn("__text", lines_of(F.col("__body")))
+    stays = F.array_compact(F.zip_with("__text", masked(F.col("__body")), lambda x, m: F.when(~F.arrays_overlap(templates(x, m), F.col("__keys")), x)))
     kept = joined.withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__text")).otherwise(stays))
     columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns]
     return kept.select(*columns, F.size("__text").alias(before), (F.size("__text") - F.size("__kept")).alias(dropped))
