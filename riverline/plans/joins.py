@@ -127,7 +127,8 @@ SELECT line_id, pid, min(dist) AS dist FROM dd WHERE dist <= 60 GROUP BY line_id
 def _(spark, d):
     """Each line's vertices on the line after it."""
     p = x.stations(spark, d).select((F.col("line_id") + 1).alias("line_id"), F.col("idx").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return j.nearest_on_lines(p, segments(spark, d), 60.0, ["line_id"]).select("line_id", "pid", r6("dist").alias("dist"))
+    near = j.nearest_on_lines(p, segments(spark, d), 60.0 + 1e-6, ["line_id"])  # the limit is one of rounded distances
+    return near.select("line_id", "pid", r6("dist").alias("dist")).where("dist <= 60")
 
 
 @query("join_line_crossings", f"""WITH {x.STATIONS}, {SEG}, m AS (SELECT s.line_id, s.sid, o.sid AS oid, (s.bx - s.ax) * (o.ey - o.ay) - (s.ey - s.ay) * (o.bx - o.ax) AS det,

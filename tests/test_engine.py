@@ -31,6 +31,18 @@ def test_query_equals_sql(spark, db, name):
     pd.testing.assert_frame_equal(*(x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b)), check_dtype=False)
 
 
+def test_nearest_segment_at_the_limit(spark, tmp_path):
+    """Distances that are 60 only when rounded are within the limit, as in the SQL."""
+    event = {k * 7919 % 1000: k for k in range(1000)}  # by y in tenths
+    over = [t for t in range(400) if (t + 600) / 10 - t / 10 > 60][:3]
+    rows = [(event[y] + 1000 * (2 * line + step), line, "view", 1.0) for k, t in enumerate(over) for line, ys in ((3 * k, [t]), (3 * k + 1, [t + 600, 999])) for step, y in enumerate(ys)]
+    pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "value"]).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.sql(SQL["join_nearest_segment"]).fetchall())
+    assert sorted(map(tuple, QUERIES["join_nearest_segment"](spark, str(tmp_path)).collect())) == want == [(3 * k + 1, 0, 60.0) for k in range(3)]
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_search_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
