@@ -4,6 +4,8 @@ At 0.8 two SimHash fingerprints differ in up to a quarter of their bits, where t
 vantage-point trees nor a radius of fingerprints decide here. Texts are dealt by min-hash keys instead (`KEYS` of them: a pair of
 similarity s shares none with probability (1-s)**KEYS, 0.0003 at 0.8), and of a key's texts each leads once: those not yet of its
 class are compared on all their shingles (as 32-bit hashes), and the similar ones join it with their classes. Only pairs inside a class are skipped, so a group costs few passes, and no link of a key is lost.
+In a key of more than `FEW` texts only those are compared that share rare hashes and whose sizes and bits leave room for the similarity:
+filters that lose no pair, so a passage that many texts share costs no comparison of all with all.
 Texts of a key that more than `MOST` share are dealt to chunks, and each two chunks (and each with itself) meet in a task of their own: no task
 holds more than two chunks, and still every pair of the key meets.
 
@@ -27,6 +29,10 @@ from riverline.llm.simhash import shingle_hashes
 
 KEYS = 5
 MOST = 20_000
+#: Keys of more texts look up who shares rare hashes; in smaller ones all are compared.
+FEW = 32
+LONG, BITS = 8, 2048
+SLACK = 1e-9
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(KEYS)]
 
 
@@ -48,22 +54,82 @@ def links_of(nodes: np.ndarray, hashes: list[bytes], similarity: float) -> list[
     found, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     sums = np.append(0, np.cumsum(often[at]))
     common = (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(sizes, 1)
+    mates, bits = (rare_mates(at, often, sizes, similarity), bit_sets(sets)) if len(nodes) > FEW else (None, None)
     classes, out, held = np.arange(len(nodes)), [], np.zeros(len(found), bool)
     for lead in np.argsort(-common, kind="stable"):  # an original, of the most common hashes, before its copies: only time depends on it
-        if (classes == classes[lead]).all():
+        if mates:
+            met = mates(lead, classes)
+        elif (classes == classes[lead]).all():
             break
-        own = at[edges[lead] : edges[lead + 1]]
-        held[own] = True
-        sums = np.append(0, np.cumsum(held[at]))
-        held[own] = False
-        both = sums[edges[1:]] - sums[edges[:-1]]
-        near = np.flatnonzero((both / np.maximum(sizes + sizes[lead] - both, 1) >= similarity) & (classes != classes[lead]))
+        else:
+            met = np.flatnonzero(classes != classes[lead])
+        met = met[np.minimum(sizes[met], sizes[lead]) >= similarity * np.maximum(sizes[met], sizes[lead]) - SLACK]
+        if mates and len(met):  # hashes that a bit tells to be missing on either side bound what can be common
+            most = np.minimum(sizes[met] - np.bitwise_count(bits[met] & ~bits[lead]).sum(axis=1, dtype=np.int64), sizes[lead] - np.bitwise_count(bits[lead] & ~bits[met]).sum(axis=1, dtype=np.int64))
+            met = met[most >= (similarity - SLACK) * (sizes[met] + sizes[lead] - most)]
+        if not len(met):
+            continue
+        held[at[edges[lead] : edges[lead + 1]]] = True
+        ends = np.cumsum(sizes[met])
+        sums = np.append(0, np.cumsum(held[at[np.arange(ends[-1]) + np.repeat(edges[met] - ends + sizes[met], sizes[met])]]))
+        held[at[edges[lead] : edges[lead + 1]]] = False
+        both = sums[ends] - sums[ends - sizes[met]]
+        near = met[both / np.maximum(sizes[met] + sizes[lead] - both, 1) >= similarity]
         joined, first = np.unique(classes[near], return_index=True)
         out += [(int(nodes[i]), int(nodes[lead])) for i in near[first]]
         classes[np.isin(classes, joined)] = classes[lead]
     return out
 
 
+def bit_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set of hashes: those of its hashes' low ends."""
+    out = np.zeros((len(sets), BITS // 8), np.uint8)
+    for row, found in zip(out, sets):
+        flags = np.zeros(BITS, bool)
+        flags[found % BITS] = True
+        row[:] = np.packbits(flags)
+    return out.view("<u8")
+
+
+def rare_mates(at: np.ndarray, often: np.ndarray, sizes: np.ndarray, similarity: float):
+    """A function (lead, classes) -> the texts of other classes that may be similar to lead and have not led before.
+
+    Two sets at `similarity` share that part of either's hashes at least, so they share one of the rarest that make up the rest and one
+    more of each, all sets' hashes taken in one order: texts that share none of these are never compared, and no similar pair is lost.
+    """
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((rank[at], owner))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rest = sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1
+    picked = order[(place < rest[owner]) & (often[at[order]] > 1)]  # owner is the same before and after the sort
+    holder, rare = owner[picked], at[picked]
+    first = np.searchsorted(holder, np.arange(len(sizes) + 1))
+    listed = np.argsort(rare, kind="stable")
+    lists, start = holder[listed], np.searchsorted(rare[listed], np.arange(len(often) + 1))
+    settled, led = np.zeros(len(often), bool), np.zeros(len(sizes), bool)
+
+    def mates(lead: int, classes: np.ndarray) -> np.ndarray:
+        led[lead] = True
+        own = rare[first[lead] : first[lead + 1]]
+        own = own[~settled[own]]
+        counts = start[own + 1] - start[own]
+        ends = np.cumsum(counts)
+        if not len(own):
+            return own
+        if ends[-1] > LONG * len(sizes):  # looking them up would take longer than comparing bits with all
+            return np.flatnonzero(~led & (classes != classes[lead]))
+        others = lists[np.arange(ends[-1]) + np.repeat(start[own] - ends + counts, counts)]
+        apart = ~led[others] & (classes[others] != classes[lead])
+        settled[own[np.add.reduceat(apart, ends - counts, dtype=np.int64) == 0]] = True
+        found = np.zeros(len(sizes), bool)
+        found[others[apart]] = True
+        return np.flatnonzero(found)
+
+    return mates
+
+
 def shard_links(similarity: float):
     def work(table: pa.Table) -> pa.Table:
         table = table.select(["key", "node", "hashes"]).sort_by([("key", "ascending"), ("node", "ascending")]).combine_chunks()

@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -249,3 +250,23 @@ def test_durable_tables_go_when_discarded(spark):
     assert os.path.isdir(path) and kept.count() == 5
     common.discard(kept)
     assert not os.path.exists(path)
+
+
+def test_texts_of_a_key_that_share_little_are_not_all_compared():
+    """A key of one common passage: the classes of brute force, in time that does not grow with the square of the texts."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 2**32, 60, dtype=np.uint64) for _ in range(40)]
+    sets = [np.unique(np.append(rng.choice(b, rng.integers(50, 61), replace=False), 7).astype("<u4")) for b in base for _ in range(3)]
+    links = near_copies.links_of(np.arange(len(sets)), [s.tobytes() for s in sets], 0.8)
+    similar = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    near = np.array([[similar(a, b) for b in sets] for a in sets])
+    want, found = simhash.Forest(len(sets)), simhash.Forest(len(sets))
+    want.link(*np.nonzero(near))
+    found.link(*np.array(links).T)
+    every = np.arange(len(sets))
+    assert near.sum() > 2 * len(sets) > near.diagonal().sum() and all(near[u, v] for u, v in links)
+    assert found.roots(every).tolist() == want.roots(every).tolist()
+    many = [np.unique(np.append(rng.integers(0, 2**32, 100, dtype=np.uint64), 7).astype("<u4")).tobytes() for _ in range(6000)]
+    began = time.process_time()
+    assert near_copies.links_of(np.arange(6000), [*many[:-1], many[0]], 0.8) in ([(0, 5999)], [(5999, 0)])
+    assert time.process_time() - began < 6
