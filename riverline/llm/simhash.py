@@ -51,7 +51,11 @@ def shingle_hashes(body: bytes, words: int) -> np.ndarray:
 
 
 def fingerprint(body: bytes, words: int) -> int:
-    hashes = shingle_hashes(body, words)
+    return majority(shingle_hashes(body, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

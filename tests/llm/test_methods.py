@@ -270,3 +270,18 @@ def test_texts_of_a_key_that_share_little_are_not_all_compared():
     began = time.process_time()
     assert near_copies.links_of(np.arange(6000), [*many[:-1], many[0]], 0.8) in ([(0, 5999)], [(5999, 0)])
     assert time.process_time() - began < 6
+
+
+def test_near_copies_are_linked_by_fingerprints_first(spark):
+    """Copies whose fingerprints differ in three bits at most are linked by the trees' classes alone, if their shingles agree."""
+    rng, texts = random.Random(21), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:-1], "end"])]
+    texts += [" ".join(["alike"] * k) for k in (5, 6)]  # one set of shingles
+    points, nodes = near_copies.points_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    got = {frozenset((r.u, r.v)) for r in near_copies.fingerprint_links(points, nodes, 0.8).collect()}
+    fp = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    want = {frozenset((k, k + 1)) for k in range(0, 80, 2) if (fp[k] ^ fp[k + 1]).bit_count() <= 3}
+    assert len(want) > 20 and got == want and nodes.count() == 81
+    assert near_copies.fingerprint_links(points, nodes, 0.999).count() == 0
