@@ -184,6 +184,26 @@ def test_buffers_and_navigable_water():
     assert open_.sum() * 4 == pytest.approx(2 * 80 * 80, rel=0.08)
 
 
+def test_navigable_water_of_a_long_line():
+    """16 times the edges take some 16 times as long, not 256; inside is what is 20 m from the banks."""
+    import time
+
+    def bank(n):
+        along = np.arange(n) * 200.0
+        off = 45 + 20 * np.sin(along / 70)
+        return [synthetic.closed(np.concatenate([np.stack([along, off], axis=1), np.stack([along, -off], axis=1)[::-1]]))]
+
+    began = time.process_time()
+    found = polygons.navigable_water(bank(160), 15.0, 5.0)
+    assert time.process_time() - began < 2.5
+    rng = np.random.default_rng(6)
+    p = np.stack([rng.uniform(0, 31800, 3000), rng.uniform(-70, 70, 3000)], axis=1)
+    ring = bank(160)
+    far = planar.Line(ring[0]).project(p)[1]
+    clear = np.abs(far - 20) > 0.2
+    assert (planar.inside(p, found) == (planar.inside(p, ring) & (far > 20)))[clear].all() and planar.inside(p, found).sum() > 500
+
+
 def test_excavation_sides():
     line = np.array([(0, 0), (200, 0)])
     found = polygons.excavation(line, [(-10, 8), (210, 8)], [(-10, -30), (210, -30)], 20.0, lambda r: np.zeros(np.shape(r)), 10.0, 1.0)
