@@ -14,9 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def per_line(line: DataFrame, schema: str, solve: Callable[[pd.DataFrame], pd.DataFrame], key: str = "line_id", order: str = "idx") -> DataFrame:
-    """solve gets one line in vertex order. Lines are dealt to buckets, several to a task, and a bucket is one Arrow table: a line must fit a task, as every window over it must."""
-    buckets = 4 * int(line.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def per_line(line: DataFrame, schema: str, solve: Callable[[pd.DataFrame], pd.DataFrame], key: str = "line_id", order: str = "idx", least: int = 0) -> DataFrame:
+    """solve gets one line in vertex order. Lines are dealt to buckets, several to a task, and a bucket is one Arrow table: a line must fit a task, as every window over it must.
+    Of few buckets a task may get twice its share by hash, and tasks are joined by bytes, not work: slow solves ask for `least` buckets and keep all tasks."""
+    tasks = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = max(4 * tasks, least)
 
     def work(table: pa.Table) -> pa.Table:
         frame = table.to_pandas().drop(columns="__bucket").sort_values([key, order], kind="stable")
@@ -27,6 +29,8 @@ def per_line(line: DataFrame, schema: str, solve: Callable[[pd.DataFrame], pd.Da
 
     wanted = StructType.fromDDL(schema)
     dealt = line.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    if least:
+        dealt = dealt.repartition(tasks, "__bucket")
     arrow = to_arrow_schema(wanted)
     return dealt.groupBy("__bucket").applyInArrow(lambda t: work(t).select(arrow.names).cast(arrow), wanted)
 

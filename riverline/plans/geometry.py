@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def per_line(name: str, schema: str, source=None):
+def per_line(name: str, schema: str, source=None, least: int = 0):
     """Register solve(frame of one line) -> dict of columns; line_id comes first."""
 
     def add(solve):
@@ -41,7 +41,7 @@ def per_line(name: str, schema: str, source=None):
             n = max((len(v) for v in found.values() if not np.isscalar(v) and v is not None), default=1)
             return pd.DataFrame({"line_id": np.full(n, p.line_id.iloc[0]), **found})
 
-        QUERIES[name] = lambda spark, d: s.per_line((source or fill_missing_z)(spark, d), f"line_id long, {schema}", whole)
+        QUERIES[name] = lambda spark, d: s.per_line((source or fill_missing_z)(spark, d), f"line_id long, {schema}", whole, least=least)
         return solve
 
     return add
@@ -64,8 +64,8 @@ def sides(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([along, middle + off], axis=1), np.stack([along, middle - off], axis=1)
 
 
-def water(p: pd.DataFrame, every: int = 1) -> list[np.ndarray]:
-    left, right = (bank[::every] for bank in sides(p))
+def water(p: pd.DataFrame) -> list[np.ndarray]:
+    left, right = sides(p)
     return [np.concatenate([right, left[::-1], right[:1]])]
 
 
@@ -404,9 +404,9 @@ def _(p):
     return {"idx": range(len(xy)), "x": xy[:, 0], "y": xy[:, 1], "arcs": np.full(len(xy), len(arcs))}
 
 
-@per_line("geo_navigable_water", "part long, area double")
+@per_line("geo_navigable_water", "part long, area double", lambda spark, d: x.stations(spark, d).select("line_id", "idx", "x"), 256)
 def _(p):
-    found = polygons.parts(polygons.navigable_water(water(p, 16), 15.0, 5.0))
+    found = polygons.parts(polygons.navigable_water(water(p), 15.0, 5.0))
     return {"part": range(len(found)), "area": [round(polygons.area(f), 3) for f in found]}
 
 

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from riverline.operators import banks, grid, lattice, network, planar, polygons, route
@@ -204,6 +205,49 @@ def test_navigable_water_of_a_long_line():
     assert (planar.inside(p, found) == (planar.inside(p, ring) & (far > 20)))[clear].all() and planar.inside(p, found).sum() > 500
 
 
+def test_navigable_water_has_the_whole_banks(spark):
+    """Each line's area is that of the points over 20 m from its banks, all their vertices taken, both ends of the line with them."""
+    from riverline.catalog import QUERIES
+    from riverline.plans.geometry import sides
+
+    sf = "/root/testdata/sf0.001"
+    found = QUERIES["geo_navigable_water"](spark, sf).toPandas().groupby("line_id").area.sum()
+    sizes = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().toPandas().set_index("user_id")["count"]
+    assert sorted(found.index) == sorted(sizes.index)
+    for size in {sizes.min(), sizes.max()}:
+        left, right = sides(pd.DataFrame({"x": np.arange(size) * 25.0}))
+        ring = synthetic.closed(np.concatenate([right, left[::-1]]))
+        a, b = ring[:-1], ring[1:]
+        cells = [np.stack([np.full(200, x), np.arange(-100, 150, 1.25)], axis=1) for x in np.arange(ring[:, 0].min() + 0.5, ring[:, 0].max(), 1.0)]
+        deep = 0
+        for p in cells:
+            near = np.abs((a + b)[:, 0] / 2 - p[0, 0]) < 60
+            t = np.clip(((p[:, None] - a[near]) * (b - a)[near]).sum(axis=2) / ((b - a)[near] ** 2).sum(axis=1), 0, 1)
+            far = np.hypot(*np.moveaxis(p[:, None] - a[near] - t[..., None] * (b - a)[near], 2, 0)).min(axis=1)
+            deep += (planar.inside(p, [ring]) & (far > 20)).sum()
+        assert found[sizes == size].to_numpy() == pytest.approx(deep * 1.25, rel=0.003)
+
+
+def test_buffers_of_any_rings():
+    """Against distances to all edges: crossing rings, holes, either way about, needles and edges much shorter than the distance."""
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        m = int(rng.integers(3, 40))
+        t = np.arange(m) * 2 * np.pi / m
+        c = np.stack([np.cos(t), np.sin(t)], axis=1)
+        rings = [rng.uniform(-50, 50, (m, 2))] if k % 2 else [c * rng.uniform(40, 60, (m, 1)), c[:: (-1) ** (k // 2)] * rng.uniform(8, 30, (m, 1)), np.array([(45.0, 0), (80, 3), (70, 30), (40, 20)])]
+        rings = [synthetic.closed(r) for r in rings]
+        by = float(rng.choice([-12, -5, -0.5, 1, 4, 15]))
+        p = rng.uniform(-90, 90, (3000, 2))
+        a, b = planar.edges(rings)
+        s = np.clip(((p[:, None] - a) * (b - a)).sum(axis=2) / ((b - a) ** 2).sum(axis=1), 0, 1)
+        far = np.hypot(*np.moveaxis(p[:, None] - a - s[..., None] * (b - a), 2, 0)).min(axis=1)
+        within = polygons.even_odd(p, rings)
+        want = within | (far <= by) if by > 0 else within & (far > -by)
+        clear = np.abs(far - abs(by)) > 0.005 * abs(by)
+        assert (polygons.even_odd(p, polygons.buffer(rings, by)) == want)[clear].all()
+
+
 def test_excavation_sides():
     line = np.array([(0, 0), (200, 0)])
     found = polygons.excavation(line, [(-10, 8), (210, 8)], [(-10, -30), (210, -30)], 20.0, lambda r: np.zeros(np.shape(r)), 10.0, 1.0)
